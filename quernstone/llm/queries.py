@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quernstone.llm import simhash_dedup, token_counts, topk_search, url_filter
+from quernstone.llm import line_dedup, simhash_dedup, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_topk_search": topk_search.op5_topk_search,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
 }
