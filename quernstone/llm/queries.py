@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, line_dedup, simhash_dedup, token_counts, topk_search, url_filter
+from quernstone.llm import decontaminate, line_dedup, packing, simhash_dedup, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_topk_search": topk_search.op5_topk_search,
+    "op6_packing": packing.op6_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
