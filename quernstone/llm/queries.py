@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, line_dedup, packing, simhash_dedup, token_counts, topk_search, url_filter
+from quernstone.llm import chat_format, decontaminate, line_dedup, packing, simhash_dedup, token_counts, topk_search, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_packing": packing.op6_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_chat_format": chat_format.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
