@@ -20,7 +20,7 @@ _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def char_classes() -> np.ndarray:
     out = np.zeros(0x110000, np.uint8)
     for cp in range(0x110000):
         kind = unicodedata.category(chr(cp))[0]
@@ -61,7 +61,7 @@ def pretoken_starts(cps: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     n = len(cps)
     if n == 0:
         return np.zeros(0, np.int64)
-    kind = _classes()[cps]
+    kind = char_classes()[cps]
     first = np.zeros(n + 1, bool)  # a text starts here
     first[text_starts] = True
     run = np.empty(n, bool)  # a run of one class starts here

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chat_format, decontaminate, line_dedup, packing, simhash_dedup, token_counts, topk_search, url_filter
+from quernstone.llm import chat_format, decontaminate, line_dedup, packing, simhash_dedup, token_counts, topk_search, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
