@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import chat_format, decontaminate, line_dedup, packing, simhash_dedup, token_counts, topk_search, toxicity, url_filter
+from quernstone.llm import chat_format, decontaminate, html_extract, line_dedup, packing, simhash_dedup, token_counts, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_topk_search": topk_search.op5_topk_search,
     "op6_packing": packing.op6_packing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
@@ -22,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op5_topk_search": topk_search.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op8_html_extract": html_extract.ORACLE_SQL,
 }
