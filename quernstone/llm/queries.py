@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quernstone.llm import chat_format, decontaminate, html_extract, line_dedup, packing, simhash_dedup, token_counts, topk_search, toxicity, url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

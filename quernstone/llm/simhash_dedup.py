@@ -183,6 +183,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return docs.join(label, "fp").select(key, "fp", "component_id")
 
 
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows whose key is their component's id, with their columns as they are: one document of each group.
+
+    Rows that repeat a key and a text stay once. Rows without a key can't be named as a copy and stay.
+    """
+    marks = near_duplicates(df, key, text, radius).where(F.col(key) == F.col("component_id"))
+    stay = stored(marks.groupBy(F.col(key).alias("_stay")).agg(F.count("*").alias("_rows")))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    unnamed = df.where(F.col(key).isNull())
+    named = df.join(stay, df[key] == stay["_stay"], "left_semi")
+    repeated = stay.where("_rows > 1").select("_stay")
+    if not repeated.isEmpty():
+        again = df.join(repeated, df[key] == repeated["_stay"], "left_semi").dropDuplicates([key, text])
+        named = named.join(repeated, named[key] == repeated["_stay"], "left_anti").select(*columns).unionByName(again)
+    return named.select(*columns).unionByName(unnamed)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
