@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL if there is any."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+from quernstone.plans import corpus_queries, graph_queries, retrieval_queries, serving_queries, stream_queries  # noqa: E402, F401
