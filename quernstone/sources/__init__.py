@@ -1 +1 @@
-
+"""Readers of every input form, and writers of every output form."""
