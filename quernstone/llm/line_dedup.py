@@ -4,7 +4,8 @@ For each host the pages that contain a line are divided by the host's pages; lin
 enough pages, are dropped from all pages of the host. A page counts once for a line however often it repeats it.
 
 Counts are summed before the shuffle and keyed by (host, 128 bits of the line), so that a hot host or a hot line
-spreads over tasks and a task's share is one number. Lines are compared without blanks, tabs and carriage returns at
+spreads over tasks and a task's share is one number. The lines found go to all tasks as a broadcast of checked size;
+beyond it they are joined to the pages that hold them. Lines are compared without blanks, tabs and carriage returns at
 their ends; blank lines are structure and never dropped, other line breaks and the remaining lines stay as they are.
 
 A null host is a host of its own. A null text stays null. Repeated rows count as pages each. All columns pass through,
@@ -16,10 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import read
+from quernstone.llm.common import read, stored
 
 RATIO = 0.1
 MIN_PAGES = 5
+#: Boilerplate lines of all hosts together, at some 100 bytes each, up to which they are broadcast. A host has at most
+#: 1 / RATIO times as many as a page of it has lines on average.
+MAX_BROADCAST_LINES = 100_000
 
 
 def _trim(line: Column) -> Column:
@@ -50,16 +54,13 @@ def boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio:
     return joined.where(F.col("pages") > ratio * F.col("host_pages")).select("host", "line", "pages", "host_pages")
 
 
-def drop_boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, max_broadcast: int = MAX_BROADCAST_LINES) -> DataFrame:
     """df with its text rid of boilerplate lines; with n_lines and n_dropped if counts."""
-    bad = boilerplate(df, text, host, ratio, min_pages).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line"))
-    # Distinct texts of a host that hold such lines, by 128 bits of the text, with the lines to drop from each.
-    seen = df.select(F.col(host).alias("host"), _key(F.col(text)).alias("page"), F.explode(_distinct_keys(F.col(text))).alias("line"))
-    hit = seen.join(bad, seen["host"].eqNullSafe(bad["bad_host"]) & (seen["line"] == bad["bad_line"]))
-    per_page = hit.groupBy("host", "page").agg(F.collect_set("line").alias("bad_lines")).select(F.col("host").alias("hit_host"), F.col("page").alias("hit_page"), "bad_lines")
-    all_columns = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
-    rows = df.select(all_columns, F.col(host).alias("host"), _key(F.col(text)).alias("page"))
-    joined = rows.join(per_page, rows["host"].eqNullSafe(per_page["hit_host"]) & (rows["page"] == per_page["hit_page"]), "left")
+    bad = stored(boilerplate(df, text, host, ratio, min_pages).select(F.col("host").alias("bad_host"), F.col("line").alias("bad_line")))
+    if bad.count() <= max_broadcast:
+        joined = _by_host(df, bad, host)
+    else:
+        joined = _by_page(df, bad, text, host)
     old = F.col("row").getField(text)
     lines = _lines(old)
     kept = F.filter(lines, lambda x: ~F.array_contains("bad_lines", _key(_trim(x))))
@@ -67,10 +68,30 @@ def drop_boilerplate(df: DataFrame, text: str = "text", host: str = "source", ra
     out = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns]
     if counts:
         dropped = F.when(F.col("bad_lines").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
-        out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped")]
+        out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*out)
 
 
+def _rows(df: DataFrame) -> Column:
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
+def _by_host(df: DataFrame, bad: DataFrame, host: str) -> DataFrame:
+    """Each row with its host's lines to drop, from a broadcast of checked size: no text is shuffled."""
+    per_host = bad.groupBy("bad_host").agg(F.collect_set("bad_line").alias("bad_lines"))
+    rows = df.select(_rows(df), F.col(host).alias("host"))
+    return rows.join(F.broadcast(per_host), rows["host"].eqNullSafe(per_host["bad_host"]), "left")
+
+
+def _by_page(df: DataFrame, bad: DataFrame, text: str, host: str) -> DataFrame:
+    """The same beyond that size: distinct texts of a host, by 128 bits of the text, with the lines to drop from each."""
+    seen = df.select(F.col(host).alias("host"), _key(F.col(text)).alias("page"), F.explode(_distinct_keys(F.col(text))).alias("line"))
+    hit = seen.join(bad, seen["host"].eqNullSafe(bad["bad_host"]) & (seen["line"] == bad["bad_line"]))
+    per_page = hit.groupBy("host", "page").agg(F.collect_set("line").alias("bad_lines")).select(F.col("host").alias("hit_host"), F.col("page").alias("hit_page"), "bad_lines")
+    rows = df.select(_rows(df), F.col(host).alias("host"), _key(F.col(text)).alias("page"))
+    return rows.join(per_page, rows["host"].eqNullSafe(per_page["hit_host"]) & (rows["page"] == per_page["hit_page"]), "left")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
 

@@ -1,12 +1,15 @@
+import pytest
+
 from quernstone.llm import line_dedup as L
 
 
-def test_drops_lines_beyond_the_ratio(spark):
+@pytest.mark.parametrize("max_broadcast", [0, 100])
+def test_drops_lines_beyond_the_ratio(spark, max_broadcast):
     rows = [(i, f"menu \nbody {i}\n\n{'rare' if i < 3 else 'x'}\tz\n menu", "a", i) for i in range(10)]
     rows += [(20 + i, f"menu\nbody {i}", "b", 0) for i in range(4)]
     rows += [(30, None, "a", 0), (31, "", "a", 0), (None, "menu", None, 0), (32, "menu", "a", 0), (32, "menu", "a", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, line int")
-    out = L.drop_boilerplate(df, ratio=0.5, min_pages=5, counts=True)
+    out = L.drop_boilerplate(df, ratio=0.5, min_pages=5, counts=True, max_broadcast=max_broadcast)
     assert out.columns == [*df.columns, "n_lines", "n_dropped"]
     got = {}
     for r in out.collect():
