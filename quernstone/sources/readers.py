@@ -38,7 +38,8 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str = CH
     if not found:
         return spark.createDataFrame([], full)
     with_bad = T.StructType([*full.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(found)
+    parsed = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(found).where(F.btrim("value") != "").select(parsed.alias("_r")).select("_r.*")
     if id_column:
         made = F.concat_ws("_", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit(r"\.\w+$"), F.lit("")), F.monotonically_increasing_id().cast("string"))
         rows = rows.withColumn(id_column, F.coalesce(id_column, made))
@@ -49,10 +50,7 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: str = CH
 
 def read_texts(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, text): whole files; glob as for *.md."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
