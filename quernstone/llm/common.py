@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.session import worker_path
@@ -29,3 +33,16 @@ def stored(df: DataFrame) -> DataFrame:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     worker_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_slices(column: pa.Array, size: int) -> Iterator[list[str]]:
+    """The texts of an Arrow column in order, null as empty, in lists of at most so many bytes; a longer text is alone.
+
+    Only one list is held as Python strings at a time, whatever the size of Spark's batches.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield [t or "" for t in column.slice(at, end - at).to_pylist()]
+        at = end

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import read, stored
+from quernstone.llm.common import read, stored, text_slices
 from quernstone.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -30,6 +30,10 @@ SEED = 42
 TILE_ROWS = 1 << 18
 #: Fingerprints of a sub-tile, and of the arrays compared at a time.
 SUB_ROWS, BLOCK = 64, 1 << 20
+#: Keys, at 8 bytes and a hash entry each, up to which those that go are broadcast.
+MAX_BROADCAST_KEYS = 1_000_000
+#: Bytes of text that are held as strings at a time.
+BATCH_BYTES = 1_000_000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -57,7 +61,7 @@ def with_fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(blocks):
         for block in blocks:
-            values = np.array([fingerprint(t) for t in block.column(1).to_pylist()], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t) for texts in text_slices(block.column(1), BATCH_BYTES) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(values)], names=[key, "fp"])
 
     return df.select(key, text).mapInArrow(run, schema)
@@ -183,21 +187,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return docs.join(label, "fp").select(key, "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, max_broadcast: int = MAX_BROADCAST_KEYS) -> DataFrame:
     """The rows whose key is their component's id, with their columns as they are: one document of each group.
 
-    Rows that repeat a key and a text stay once. Rows without a key can't be named as a copy and stay.
+    Keys that go are broadcast up to a checked number, so that texts aren't shuffled; beyond it they are joined. Rows
+    that repeat a key and a text stay once. Rows without a key can't be named as a copy and stay.
     """
-    marks = near_duplicates(df, key, text, radius).where(F.col(key) == F.col("component_id"))
-    stay = stored(marks.groupBy(F.col(key).alias("_stay")).agg(F.count("*").alias("_rows")))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    unnamed = df.where(F.col(key).isNull())
-    named = df.join(stay, df[key] == stay["_stay"], "left_semi")
-    repeated = stay.where("_rows > 1").select("_stay")
-    if not repeated.isEmpty():
-        again = df.join(repeated, df[key] == repeated["_stay"], "left_semi").dropDuplicates([key, text])
-        named = named.join(repeated, named[key] == repeated["_stay"], "left_anti").select(*columns).unionByName(again)
-    return named.select(*columns).unionByName(unnamed)
+    stays = F.col(key) == F.col("component_id")
+    by_key = near_duplicates(df, key, text, radius).groupBy(F.col(key).alias("_key")).agg(F.count_if(stays).alias("_stay"))
+    by_key = stored(by_key)
+    gone, again = by_key.where("_stay = 0").select("_key"), by_key.where("_stay > 1").select("_key")
+    bounded = lambda keys: F.broadcast(keys) if keys.count() <= max_broadcast else keys
+    kept = df.join(bounded(gone), df[key] == gone["_key"], "left_anti")
+    if again.isEmpty():
+        return kept
+    again = bounded(again)
+    once = kept.join(again, kept[key] == again["_key"], "left_semi").dropDuplicates([key, text])
+    return kept.join(again, kept[key] == again["_key"], "left_anti").unionByName(once)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

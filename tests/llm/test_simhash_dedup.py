@@ -80,3 +80,11 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(20, 60)] + [(1, 1), (None, 5), (3, 2)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 7 for i in [7, *range(20, 60)]}, 1: 1, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("max_broadcast", [0, 100])
+def test_one_of_each_group_stays(spark, max_broadcast):
+    rows = [(5, "a b c", "x"), (3, "a b c", "y"), (3, "a b c", "y"), (None, "a b c", "z"), (9, "other words", "q"), (8, None, "r"), (7, "", "s"), (7, "", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted(map(tuple, S.drop_near_duplicates(df, max_broadcast=max_broadcast).collect()), key=str)
+    assert [r[0] for r in got] == [3, 7, 9, None] and S.drop_near_duplicates(df, max_broadcast=max_broadcast).columns == df.columns
