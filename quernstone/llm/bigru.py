@@ -17,7 +17,10 @@ WORD_BITS, GRAM_BITS = 18, 18
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
 WINDOW, STRIDE = 64, 32
 #: Characters of texts, distinct words whose n-grams, and windows whose states, are held as arrays at a time.
-CHARS_AT_A_TIME, WORDS_AT_A_TIME, WINDOWS_AT_A_TIME = 1_000_000, 16_384, 2_048
+CHARS_AT_A_TIME, WORDS_AT_A_TIME, WINDOWS_AT_A_TIME = 500_000, 8_192, 2_048
+
+#: Texts whose words are held together in training.
+TEXTS_AT_A_TIME = 500
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,37 +266,41 @@ def train(texts: list[str], labels: list[int], seed: int = 7, updates: int = 40_
 
     The first rounds take some windows of each text under the text's label; later rounds take the windows that score
     highest so far (for toxic texts the one, for clean texts two), so that a text's label rests on its worst window.
-    There are about so many updates by windows, whatever the number of texts.
+    There are about so many updates by windows, whatever the number of texts. Texts are taken in parts of bounded size.
     """
-    rng, net, words, y = np.random.default_rng(seed), BiGru(seed), Words(texts), np.array(labels, np.float32)
+    rng, net, y = np.random.default_rng(seed), BiGru(seed), np.array(labels, np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.dense.items()}
     row_sums = {"word": np.full(1 << WORD_BITS, 1e-8, np.float32), "gram": np.full(1 << GRAM_BITS, 1e-8, np.float32)}
-    text, first, size = window_spans(np.diff(words.ends))
+    order = rng.permutation(len(texts))
+    parts = [(Words([texts[i] for i in part]), y[part]) for part in np.array_split(order, max(1, len(texts) // TEXTS_AT_A_TIME))]
     rounds = int(np.clip(updates / (1.6 * len(texts)), 5, 40))
     batch = int(np.clip(len(texts) / 12, 16, 192))
     warm, step = max(1, rounds // 4), 0
     for k in range(rounds):
-        chance = rng.random(len(text))
-        logit = chance if k < warm else net.logits(words)[0] + 1e-3 * chance
-        order = np.lexsort((-logit, text))
-        rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-        most = np.where(y[text[order]] == 1, 3 if k < warm else 1, 2)
-        chosen = rng.permutation(order[rank < most])
         scale = rate * (1.0 if k < rounds * 0.7 else 0.3)
-        for a in range(0, len(chosen), batch):
-            part = chosen[a : a + batch]
-            target = y[text[part]]
-            dense, *rows = net.gradients(words, text[part], first[part], size[part], target, np.ones_like(target), keep_word, rng)
-            step += 1
-            for name, g in dense.items():
-                m, v = moments[name]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                net.dense[name] = (net.dense[name] - scale * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-            for name, (index, g) in zip(("word", "gram"), rows, strict=True):
-                index, g = _sum_rows(index, g)
-                row_sums[name][index] += (g * g).mean(1)
-                getattr(net, name)[index] -= row_rate * g / np.sqrt(row_sums[name][index])[:, None]
+        for p in rng.permutation(len(parts)):
+            words, target_of = parts[p]
+            text, first, size = window_spans(np.diff(words.ends))
+            chance = rng.random(len(text))
+            logit = chance if k < warm else net.logits(words)[0] + 1e-3 * chance
+            order = np.lexsort((-logit, text))
+            rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+            most = np.where(target_of[text[order]] == 1, 3 if k < warm else 1, 2)
+            chosen = rng.permutation(order[rank < most])
+            for a in range(0, len(chosen), batch):
+                part = chosen[a : a + batch]
+                target = target_of[text[part]]
+                dense, *rows = net.gradients(words, text[part], first[part], size[part], target, np.ones_like(target), keep_word, rng)
+                step += 1
+                for name, g in dense.items():
+                    m, v = moments[name]
+                    m += 0.1 * (g - m)
+                    v += 0.01 * (g * g - v)
+                    net.dense[name] = (net.dense[name] - scale * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                for name, (index, g) in zip(("word", "gram"), rows, strict=True):
+                    index, g = _sum_rows(index, g)
+                    row_sums[name][index] += (g * g).mean(1)
+                    getattr(net, name)[index] -= row_rate * g / np.sqrt(row_sums[name][index])[:, None]
     # What training never met is zero, so that unknown words speak for neither label.
     net.word[row_sums["word"] <= 1e-8] = 0
     net.gram[row_sums["gram"] <= 1e-8] = 0

@@ -231,7 +231,7 @@ def _byte_alphabet() -> list[str]:
 class Encoder:
     """Encodes batches of texts, keeping the ids of up to ``cached`` distinct pre-tokens from batch to batch."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 200_000):
         self.bpe, self.cached = Bpe.from_file(path), cached
         self._forget()
 

@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quernstone.llm import bpe, dom
+from quernstone.llm import dom
 from quernstone.llm.boosting import Boosting
-from quernstone.llm.common import read
+from quernstone.llm.common import read, text_slices
 from quernstone.session import worker_path
 
 TRAIN_PAGES, SEED = 700, 11
-BATCH_CHARS = 1_500_000
+#: Bytes of html that are held as nodes at a time; a longer page is alone.
+BATCH_BYTES = 1_000_000
 #: Attribute words that training pages use, for main text and for each kind of the rest.
 MAIN_WORDS = "content article post entry main body text story page-content article-body post-body entry-content main-content single prose".split()
 REST_WORDS = {
@@ -307,10 +308,7 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
 
     def run(blocks):
         for block in blocks:
-            htmls = [h or "" for h in block.column(0).to_pylist()]
-            texts: list[str] = []
-            for a, b in bpe.batches(htmls, BATCH_CHARS):
-                texts += shared.value.texts(htmls[a:b])
+            texts = [t for htmls in text_slices(block.column(0), BATCH_BYTES) for t in shared.value.texts(htmls)]
             columns = [*block.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "text", "n_chars"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm import bpe
-from quernstone.llm.common import read, stored
+from quernstone.llm.common import read, stored, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS = 2048
@@ -35,7 +35,8 @@ UNIT = 8
 DEPTH, MAX_COLUMNS = 3, 6_000
 #: Pieces of one length that a ranking task is meant to hold.
 RANK_ROWS = 50_000
-BATCH_CHARS = 1_000_000
+#: Bytes of text that are encoded at a time; a longer text is encoded alone.
+BATCH_BYTES = 500_000
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -46,11 +47,10 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     def run(blocks):
         encoder, end = bpe.encoder(path), np.array([end_id], "<u4").tobytes()
         for block in blocks:
-            texts = [t or "" for t in block.column(1).to_pylist()]
             row, start, length, crc, tokens = [], [], [], [], []
             at = 0
-            for a, b in bpe.batches(texts, BATCH_CHARS):
-                ids, ends = encoder.encode(texts[a:b])
+            for texts in text_slices(block.column(1), BATCH_BYTES):
+                ids, ends = encoder.encode(texts)
                 data, ends = memoryview(ids.astype("<u4", copy=False).tobytes()), ends.tolist()
                 for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                     total = hi - lo + 1
@@ -63,7 +63,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
                         length.append(n)
                         crc.append(zlib.crc32(end, c) if last else c)
                         tokens.append(total)
-                at += b - a
+                at += len(texts)
             long = lambda x: pa.array(x, pa.int64())
             yield pa.RecordBatch.from_arrays([block.column(0).take(long(row)), long(start), long(length), long(crc), long(tokens)], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -9,18 +9,20 @@ untouched, except that columns named like the results are replaced.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm import bpe
-from quernstone.llm.common import read
+from quernstone.llm.common import read, text_slices
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Characters that are held as arrays at a time; a longer text is a batch of its own.
-BATCH_CHARS = 1_000_000
+#: Bytes of text that are held as arrays at a time; a longer text is a batch of its own.
+BATCH_BYTES = 500_000
 MAX_TOKENS = 512
 
 
@@ -33,13 +35,11 @@ def count_tokens(df: DataFrame, text: str = "text", tokenizer: str | None = None
     def run(blocks):
         encoder = bpe.encoder(path)
         for block in blocks:
-            texts = [t or "" for t in block.column(0).to_pylist()]
-            counts: list[int] = []
-            for a, b in bpe.batches(texts, BATCH_CHARS):
-                counts += encoder.count(texts[a:b]).tolist()
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            counts = [encoder.count(texts) for texts in text_slices(block.column(0), BATCH_BYTES)]
+            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            sizes = pc.fill_null(pc.binary_length(block.column(0)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*block.columns[1:], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=[*kept, "n_bytes", "n_tokens"]
+                [*block.columns[1:], sizes, pa.array(counts, pa.int64())], names=[*kept, "n_bytes", "n_tokens"]
             )
 
     return df.select(text, *kept).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bigru, bpe
-from quernstone.llm.common import read
+from quernstone.llm import bigru
+from quernstone.llm.common import read, text_slices
 from quernstone.session import worker_path
 
 THRESHOLD = 0.7
@@ -65,12 +65,11 @@ def scorer(spark: SparkSession, model):
     """A column function: the model's score of a text column."""
     shared = worker_path(spark).sparkContext.broadcast(model)  # of fixed size, about 25 MB
 
-    @F.pandas_udf("double")
-    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            texts = [t or "" for t in column]
-            parts = [shared.value.scores(texts[a:b]) for a, b in bpe.batches(texts, bigru.CHARS_AT_A_TIME)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            parts = [shared.value.scores(texts) for texts in text_slices(column, bigru.CHARS_AT_A_TIME)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score
 
