@@ -16,9 +16,9 @@ ENTITY_BONUS, MAX_BONUS, ADDED_SHARE = 0.02, 0.08, 0.1
 
 def fuse(vector: DataFrame, lexical: DataFrame, k: int = 30, vector_weight: float = 0.45, lexical_weight: float = 0.55) -> DataFrame:
     """(query_id, id, score): the sum of weight / (k + rank) over both lists, whose ranks begin at 1."""
-    part = lambda df, w: df.select("query_id", "id", (F.lit(float(w)) / (k + F.col("rank"))).alias("part"))
-    both = part(vector, vector_weight).unionByName(part(lexical, lexical_weight))
-    return both.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
+    part = lambda df, w, name: df.select("query_id", "id", (F.lit(float(w)) / (k + F.col("rank"))).alias(name))
+    both = part(vector, vector_weight, "_v").join(part(lexical, lexical_weight, "_l"), ["query_id", "id"], "full")
+    return both.select("query_id", "id", F.round(F.coalesce("_v", F.lit(0.0)) + F.coalesce("_l", F.lit(0.0)), 9).alias("score"))
 
 
 def query_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import entity_name
 from quernstone.operators import graph
+from quernstone.operators.dedupe import union_all
+from quernstone.plans.corpus_build import build
 from quernstone.plans.registry import query
 from quernstone.session import table
 
@@ -126,3 +128,11 @@ def communities_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     edges = lines.select(F.concat(F.lit("p"), F.col("l_partkey") % 500).alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).groupBy("source", "target").agg(F.count("*").alias("weight"))
     return graph.communities(graph.undirected(edges))
+
+
+@query()
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline build over all documents, as the number of rows of each of its tables."""
+    tables = build(table(spark, sf_dir, "documents"))
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, t in tables.items()]
+    return union_all(*counts)

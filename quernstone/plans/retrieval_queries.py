@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import tokenize, tokenize_long
 from quernstone.operators import lexical, ranking, vector
+from quernstone.plans import answering
 from quernstone.plans.engines import ENGINES, retrieve
 from quernstone.plans.registry import query
 from quernstone.session import table
@@ -248,3 +249,12 @@ def _engine(name: str):
 
 for _name in ENGINES:
     query(_engine_sql(_name), f"engine_{_name}")(_engine(_name))
+
+
+@query()
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guard, retrieval, prompt and an extractive answer for every benchmark question (models are beyond SQL)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit("").alias("image"))
+    rows = answering.answered(_questions(spark, sf_dir), docs, _vectors(spark, sf_dir), pages, frequent_terms(_docs(spark, sf_dir)))
+    return answering.answer_events(rows)

@@ -75,3 +75,9 @@ def upsert(df: DataFrame, path: str, key: str, newest: Column) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         keep_first(df, [key], [newest]).write.parquet(path)
+
+
+def debug_dump(batch: DataFrame, path: str, enabled: bool) -> None:
+    """What each query read and was asked, as JSON lines appended under the path; nothing unless enabled."""
+    if enabled:
+        batch.write.mode("append").json(path)
