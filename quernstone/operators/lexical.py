@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import tokenize
+from quernstone.storage import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 Tokenizer = Callable[[Column], Column]
@@ -22,30 +23,46 @@ def tokens_of(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer = token
     return docs.select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("tokens"))
 
 
+def terms_of(tokens: DataFrame, *columns: str | Column, terms: Column | None = None) -> DataFrame:
+    """A row for each token. An outer explode: an inner one would have Spark tokenise each text once more, to drop
+    documents without tokens beforehand."""
+    return tokens.select(*columns, F.explode_outer(F.col("tokens") if terms is None else terms).alias("term")).where("term IS NOT NULL")
+
+
 def postings(tokens: DataFrame) -> DataFrame:
     """(term, id, tf, dl): the inverted index, ready to be written partitioned or bucketed by term."""
-    rows = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    rows = terms_of(tokens, "id", F.size("tokens").alias("dl"))
     return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
 
-def vocabulary(tokens: DataFrame) -> DataFrame:
-    """(term, df): in how many documents each term occurs."""
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def counted(tokens: DataFrame) -> DataFrame:
+    """(term, df, n): the one pass over a corpus that all weights come from, as a written table.
+
+    df is in how many documents a term occurs. The empty term stands for the corpus: its df is the number of documents
+    and its n the number of tokens.
+    """
+    with_corpus = F.concat(F.array(F.lit("")), F.array_distinct("tokens"))
+    rows = terms_of(tokens, F.size("tokens").cast("long").alias("dl"), terms=with_corpus)
+    return stored(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("n")))
+
+
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """(term, df) of all terms; counts as of counted."""
+    return counts.where("term <> ''").select("term", "df")
 
 
 def _raw_idf(n: Column, df: Column) -> Column:
     return F.ln(n - df + 0.5) - F.ln(df + 0.5)
 
 
-def corpus_stats(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def corpus_stats(counts: DataFrame) -> DataFrame:
     """One row: n_docs, n_tokens, avgdl, n_terms, and floor, the weight of terms that more than half the documents hold."""
-    totals = tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)).alias("n_tokens"))
-    terms = vocabulary(tokens) if terms is None else terms
+    corpus = counts.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n_docs"), F.coalesce(F.max("n"), F.lit(0)).alias("n_tokens"))
     # The sum of the raw weights needs the number of documents: terms are counted by df first, a short table.
-    by_df = terms.groupBy("df").agg(F.count("*").alias("n"))
-    weights = by_df.crossJoin(totals).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.sum(F.col("n") * _raw_idf(F.col("n_docs"), F.col("df"))).alias("raw"))
-    return totals.crossJoin(weights).select(
-        "n_docs", "n_tokens", (F.col("n_tokens") / F.col("n_docs")).alias("avgdl"), "n_terms", (F.lit(EPSILON) * F.col("raw") / F.col("n_terms")).alias("floor")
+    by_df = vocabulary(counts).groupBy("df").agg(F.count("*").alias("n"))
+    weights = by_df.crossJoin(F.broadcast(corpus)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms"), F.sum(F.col("n") * _raw_idf(F.col("n_docs"), F.col("df"))).alias("raw"))
+    return corpus.crossJoin(weights).select(  # one row by one row
+        "n_docs", "n_tokens", F.try_divide("n_tokens", "n_docs").alias("avgdl"), "n_terms", F.try_divide(F.lit(EPSILON) * F.col("raw"), F.col("n_terms")).alias("floor")
     )
 
 
@@ -55,17 +72,17 @@ def inverse_frequencies(terms: DataFrame, stats: DataFrame) -> DataFrame:
     return terms.crossJoin(F.broadcast(stats)).select("term", "df", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))  # stats is one row
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(tokens: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) of all documents that share a term with a query; queries: (query_id, tokens).
 
-    A term that a query repeats counts as often.
+    A term that a query repeats counts as often. counts: those of the corpus, if they are there already.
     """
-    asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    terms = vocabulary(tokens)
-    stats = corpus_stats(tokens, terms)
+    counts = counted(tokens) if counts is None else counts
+    asked = terms_of(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     wanted = asked.select("term").distinct()
-    weights = inverse_frequencies(terms.join(wanted, "term", "left_semi"), stats).crossJoin(F.broadcast(stats.select("avgdl")))
-    rows = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    stats = corpus_stats(counts)
+    weights = inverse_frequencies(vocabulary(counts).join(wanted, "term", "left_semi"), stats).crossJoin(F.broadcast(stats.select("avgdl")))
+    rows = terms_of(tokens, "id", F.size("tokens").alias("dl")).join(wanted, "term", "left_semi")
     matched = rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).join(weights, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighed = matched.select("id", "term", part.alias("part"))
@@ -78,6 +95,6 @@ def ranked(scores: DataFrame, k: int, group: str = "query_id", key: str = "id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def bm25_top(tokens: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+def bm25_top(tokens: DataFrame, queries: DataFrame, k: int = 30, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the k best documents with a positive score."""
-    return ranked(bm25(tokens, queries).where("score > 0"), k)
+    return ranked(bm25(tokens, queries, counts=counts).where("score > 0"), k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import rewrite_synonyms, tokenize, tokenize_long
 from quernstone.operators import lexical, ranking, vector
+from quernstone.storage import stored
 
 
 @dataclass(frozen=True)
@@ -49,22 +50,31 @@ ENGINES = {
 }
 
 
-def retrieve(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataFrame, entities: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): the final chunks of each query.
+def candidates(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataFrame, counts: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, id, score) of what vectors and BM25 find, fused, as a written table.
 
-    docs: key and text; vectors: (id, v); queries: (query_id, text, v). Vectors and BM25 see the rewritten question,
-    entity boost and reranker the question as asked. Fusion needs a positive BM25 score only for what BM25 adds.
+    docs: key and text; vectors: (id, v); queries: (query_id, text, v). Both searches see the rewritten question.
     """
     found = vector.cosine_top(vectors, queries.select("query_id", "v"), engine.vector_k)
+    if not engine.fusion:
+        return stored(found.drop("rank"))
+    words = rewrite_synonyms(F.col("text")) if engine.rewrite else F.col("text")
+    searched = queries.select("query_id", engine.tokenizer(words).alias("tokens"))
     tokens = lexical.tokens_of(docs, key, text, engine.tokenizer)
+    return stored(ranking.fuse(found, lexical.bm25_top(tokens, searched, engine.lexical_k, counts), *engine.fusion))
+
+
+def pool(found: DataFrame, docs: DataFrame, tokenizer: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, tokens) of the documents found for any query, as a written table: later steps read no others."""
+    ids = found.select(F.col("id").alias(key)).distinct()
+    return stored(lexical.tokens_of(docs.join(ids, key, "left_semi"), key, text, tokenizer))
+
+
+def retrieve(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataFrame, entities: DataFrame | None = None, counts: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the final chunks of each query. Boost and reranker see the question as asked."""
+    found = candidates(engine, docs, vectors, queries, counts, key, text)
+    tokens = pool(found, docs, engine.tokenizer, key, text)
     asked = queries.select("query_id", engine.tokenizer(F.col("text")).alias("tokens"))
-    if engine.fusion:
-        words = rewrite_synonyms(F.col("text")) if engine.rewrite else F.col("text")
-        searched = queries.select("query_id", engine.tokenizer(words).alias("tokens"))
-        k, vector_weight, lexical_weight = engine.fusion
-        found = ranking.fuse(found, lexical.bm25_top(tokens, searched, engine.lexical_k), k, vector_weight, lexical_weight)
-    else:
-        found = found.drop("rank")
     if engine.boost and entities is not None:
         found = ranking.boost(found, tokens, asked, entities, engine.boost)
     return ranking.rerank(found, asked, tokens, engine.rerank_k, engine.final_k)

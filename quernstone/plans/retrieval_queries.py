@@ -5,13 +5,15 @@ Questions are the benchmark's texts; a question's vector is the one whose id is
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import tokenize, tokenize_long
 from quernstone.operators import lexical, ranking, vector
 from quernstone.plans import answering
-from quernstone.plans.engines import ENGINES, retrieve
+from quernstone.plans.engines import ENGINES, candidates, pool, retrieve
 from quernstone.plans.registry import query
 from quernstone.session import table
 
@@ -101,9 +103,9 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
-def frequent_terms(tokens: DataFrame, n: int = ENTITIES) -> DataFrame:
+def frequent_terms(counts: DataFrame, n: int = ENTITIES) -> DataFrame:
     """(entity, tokens): the most frequent terms of four letters and more, in place of an extracted entity list."""
-    terms = lexical.vocabulary(tokens).where(F.length("term") >= 4).orderBy(F.desc("df"), "term").limit(n)
+    terms = lexical.vocabulary(counts).where(F.length("term") >= 4).orderBy(F.desc("df"), "term").limit(n)
     return terms.select(F.col("term").alias("entity"), F.array("term").alias("tokens"))
 
 
@@ -121,8 +123,8 @@ def tokenize_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql_lexical()} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = lexical.vocabulary(_docs(spark, sf_dir))
-    return lexical.inverse_frequencies(terms, lexical.corpus_stats(_docs(spark, sf_dir), terms)).select("term", "df", F.round("idf", 6).alias("idf"))
+    counts = lexical.counted(_docs(spark, sf_dir))
+    return lexical.inverse_frequencies(lexical.vocabulary(counts), lexical.corpus_stats(counts)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {sql_lexical()} SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_places, max(tf) AS most FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM docs) GROUP BY ALL) GROUP BY term")
@@ -134,7 +136,7 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql_lexical()} SELECT n_docs, n_tokens, round(avgdl, 6) AS avgdl, n_terms, round(floor, 6) AS floor FROM st")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.corpus_stats(_docs(spark, sf_dir)).select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("floor", 6).alias("floor"))
+    return lexical.corpus_stats(lexical.counted(_docs(spark, sf_dir))).select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("floor", 6).alias("floor"))
 
 
 @query(f"WITH {sql_lexical()} SELECT {RANKED} FROM ltop WHERE rank <= 10")
@@ -154,10 +156,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(vector.cosine_top(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), 30))
 
 
-def _fused(spark: SparkSession, sf_dir: str, k: int, a: float, b: float) -> DataFrame:
-    questions = _questions(spark, sf_dir)
-    found = vector.cosine_top(_vectors(spark, sf_dir), questions.select("query_id", "v"), 30)
-    return ranking.fuse(found, lexical.bm25_top(_docs(spark, sf_dir), _asked(spark, sf_dir), 30), k, a, b)
+def _fused(spark: SparkSession, sf_dir: str, k: int, a: float, b: float, counts: DataFrame | None = None) -> DataFrame:
+    engine = replace(ENGINES["canonical"], fusion=(k, a, b), rewrite=False)
+    return candidates(engine, table(spark, sf_dir, "documents").select("doc_id", "text"), _vectors(spark, sf_dir), _questions(spark, sf_dir), counts)
 
 
 FUSED = f"WITH {sql_lexical()}, {sql_vectors(30)}, "
@@ -179,9 +180,12 @@ def rrf_dated_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(lexical.ranked(_fused(spark, sf_dir, 30, 0.4, 0.6), 60))
 
 
-def _boosted(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    tokens = _docs(spark, sf_dir)
-    return ranking.boost(_fused(spark, sf_dir, 30, 0.45, 0.55), tokens, _asked(spark, sf_dir), frequent_terms(tokens), how)
+def _boosted(spark: SparkSession, sf_dir: str, how: str) -> tuple[DataFrame, DataFrame]:
+    """Boosted candidates, and the tokens of all documents among them."""
+    counts = lexical.counted(_docs(spark, sf_dir))
+    found = _fused(spark, sf_dir, 30, 0.45, 0.55, counts)
+    tokens = pool(found, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenize)
+    return ranking.boost(found, tokens, _asked(spark, sf_dir), frequent_terms(counts), how), tokens
 
 
 CANONICAL = FUSED + sql_fused(30, 0.45, 0.55) + ", "
@@ -189,16 +193,17 @@ CANONICAL = FUSED + sql_fused(30, 0.45, 0.55) + ", "
 
 @query(CANONICAL + sql_boosted("add") + "SELECT query_id, id AS doc_id, score FROM boosted")
 def entity_boost_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boosted(spark, sf_dir, "add").withColumnRenamed("id", "doc_id")
+    return _boosted(spark, sf_dir, "add")[0].withColumnRenamed("id", "doc_id")
 
 
 @query(CANONICAL + sql_boosted("multiply") + "SELECT query_id, id AS doc_id, score FROM boosted")
 def entity_boost_multiplicative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boosted(spark, sf_dir, "multiply").withColumnRenamed("id", "doc_id")
+    return _boosted(spark, sf_dir, "multiply")[0].withColumnRenamed("id", "doc_id")
 
 
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.rerank(_boosted(spark, sf_dir, "add"), _asked(spark, sf_dir), _docs(spark, sf_dir))
+    found, tokens = _boosted(spark, sf_dir, "add")
+    return ranking.rerank(found, _asked(spark, sf_dir), tokens)
 
 
 FINAL = CANONICAL + sql_boosted("add") + ", " + sql_reranked("boosted", 10, 5)
@@ -241,8 +246,9 @@ def _engine(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = ENGINES[name]
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-        entities = frequent_terms(_docs(spark, sf_dir, engine.tokenizer)) if engine.boost else None
-        return _shown(retrieve(engine, docs, _vectors(spark, sf_dir), _questions(spark, sf_dir), entities))
+        counts = lexical.counted(_docs(spark, sf_dir, engine.tokenizer)) if engine.fusion else None
+        entities = frequent_terms(counts) if engine.boost else None
+        return _shown(retrieve(engine, docs, _vectors(spark, sf_dir), _questions(spark, sf_dir), entities, counts))
 
     return run
 
@@ -256,5 +262,6 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guard, retrieval, prompt and an extractive answer for every benchmark question (models are beyond SQL)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit("").alias("image"))
-    rows = answering.answered(_questions(spark, sf_dir), docs, _vectors(spark, sf_dir), pages, frequent_terms(_docs(spark, sf_dir)))
+    counts = lexical.counted(_docs(spark, sf_dir))
+    rows = answering.answered(_questions(spark, sf_dir), docs, _vectors(spark, sf_dir), pages, frequent_terms(counts), counts=counts)
     return answering.answer_events(rows)
