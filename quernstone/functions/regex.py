@@ -6,7 +6,7 @@ both work on any script.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,6 +28,11 @@ def program(text: Column, steps: Iterable[tuple[str, str]]) -> Column:
     return reduce(lambda c, s: F.regexp_replace(c, F.lit(s[0]), F.lit(s[1])), steps, text)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for each row, however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_contained(text: Column, needles: Iterable[str]) -> Column:
     """Whether any of some plain strings occurs; false for null."""
     found = reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in needles), F.lit(False))

@@ -78,11 +78,13 @@ def bm25(tokens: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, co
     A term that a query repeats counts as often. counts: those of the corpus, if they are there already.
     """
     counts = counted(tokens) if counts is None else counts
-    asked = terms_of(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    # A written table has a known size: where the questions' terms are few, the corpus's tokens aren't shuffled to meet them.
+    asked = stored(terms_of(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qf")))
     wanted = asked.select("term").distinct()
     stats = corpus_stats(counts)
-    weights = inverse_frequencies(vocabulary(counts).join(wanted, "term", "left_semi"), stats).crossJoin(F.broadcast(stats.select("avgdl")))
-    rows = terms_of(tokens, "id", F.size("tokens").alias("dl")).join(wanted, "term", "left_semi")
+    weights = stored(inverse_frequencies(vocabulary(counts).join(wanted, "term", "left_semi"), stats).crossJoin(F.broadcast(stats.select("avgdl"))))
+    # Dealt by document once: counting terms and summing scores both happen where a document's tokens are.
+    rows = terms_of(tokens, "id", F.size("tokens").alias("dl")).join(wanted, "term", "left_semi").repartition("id")
     matched = rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).join(weights, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighed = matched.select("id", "term", part.alias("part"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import rules
-from quernstone.functions.regex import any_contained, any_matched, folded
+from quernstone.functions.regex import any_contained, any_matched, bound, folded
 from quernstone.functions.text import guard_form, nfkc, percent_encode
 
 
@@ -38,20 +38,24 @@ def guard_reason(query: Column, guard: GuardRules | None = None, compatible: Cal
     Blank queries and those with a safe phrase pass. Patterns look at the query as it came, all else at its normal form.
     """
     g = guard or GuardRules()
-    form = guard_form(query, compatible)
-    bare = F.regexp_replace(form, F.lit(r"(?U)\s+"), F.lit(""))
-    alike = F.translate(F.lower(query), *g.homoglyphs)
-    blank = query.isNull() | (F.btrim(F.regexp_replace(query, F.lit(r"(?U)\s+"), F.lit(""))) == "")
     none = F.lit(None).cast("string")
-    return (
-        F.when(blank | any_contained(form, g.safe), none)
-        .when(_any_pair(form, g.pairs), "pair")
-        .when(any_contained(bare, g.spaceless), "spaceless")
-        .when(any_matched(query, g.patterns), "pattern")
-        .when(F.length(query) > g.max_chars, "length")
-        .when(_any_pair(alike, g.pairs), "homoglyph")
-        .otherwise(none)
-    )
+    # The normal form, the same without blanks, and the query with look-alike letters exchanged.
+    form = guard_form(query, compatible)
+    forms = F.struct(query.alias("raw"), form.alias("form"), F.translate(F.lower(query), *g.homoglyphs).alias("alike"))
+
+    def reason(x: Column) -> Column:
+        bare = lambda y: F.regexp_replace(y, F.lit(r"(?U)\s+"), F.lit(""))
+        return (
+            F.when(x["raw"].isNull() | F.rlike(x["raw"], F.lit(r"(?U)^\s*$")) | any_contained(x["form"], g.safe), none)
+            .when(_any_pair(x["form"], g.pairs), "pair")
+            .when(bound(bare(x["form"]), lambda y: any_contained(y, g.spaceless)), "spaceless")
+            .when(any_matched(x["raw"], g.patterns), "pattern")
+            .when(F.length(x["raw"]) > g.max_chars, "length")
+            .when(_any_pair(x["alike"], g.pairs), "homoglyph")
+            .otherwise(none)
+        )
+
+    return bound(forms, reason)
 
 
 def bot_guard(text: Column, patterns: Sequence[str] = (), whitelist: Sequence[str] = tuple(rules.BOT_WHITELIST)) -> Column:
@@ -100,9 +104,10 @@ def route_request(query: Column, persona: Sequence[str] = tuple(rules.PERSONA_WO
 
 def coins_of(text: Column, coins: dict[str, tuple[str, list[str]]] | None = None) -> Column:
     """Ids of the coins one of whose words is a whole word of the text, in the table's order."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
-    hits = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, keys))), F.lit(coin)) for coin, (_, keys) in (coins or rules.COINS).items()]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    table = (coins or rules.COINS).items()
+    hits = lambda words: F.array(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, keys))), F.lit(coin)) for coin, (_, keys) in table))
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"))
+    return F.filter(bound(words, hits), lambda x: x.isNotNull())
 
 
 def route_message(text: Column, is_reply: Column, hacking: Column | None = None) -> Column:
