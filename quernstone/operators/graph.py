@@ -17,6 +17,8 @@ from quernstone.storage import stored
 
 #: Width of the ranges of first-seen numbers in which ids are counted.
 ID_RANGE = 1_000_000
+#: Nodes move together down to one in so many of those that gain; then only moves that don't meet are made.
+LEAST_SHARE = 64
 
 
 def mentions(chunks: DataFrame, chunk: str = "id", seq: str = "seq", graph: str = "graph", per_chunk: int = rules.ENTITIES_PER_CHUNK, stop: Iterable[str] = tuple(rules.STOP_ENTITIES)) -> DataFrame:
@@ -143,46 +145,82 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     return per.crossJoin(whole).agg(F.sum(F.col("inner") / F.col("m2") - (F.col("total") / F.col("m2")) ** 2).alias("modularity"))
 
 
-def _local_moves(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, community) after rounds in which each node joins the neighbouring community of most gain.
-
-    To keep neighbours from swapping for ever, a round lets nodes move towards smaller names only, the next towards
-    larger ones only. edges: (a, b, weight) in both directions.
+def _judged(edges: DataFrame, members: DataFrame, twice: int) -> DataFrame:
+    """(a, k, own, w, down, up): each node's weight, its community, the weight it has there, and the community of most
+    gain among those of smaller and of larger names; null where none gains over staying."""
+    own = members.select(F.col("node").alias("a"), "k", F.col("community").alias("own"))
+    totals = members.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("total"))
+    other = members.select(F.col("node").alias("b"), F.col("community").alias("to"))
+    near = edges.where("a <> b").join(other, "b").select("a", "to", F.col("weight").alias("w"))
+    stay = own.select("a", F.col("own").alias("to"), F.lit(0).cast(near.schema["w"].dataType).alias("w"))
+    choice = near.unionByName(stay).groupBy("a", "to").agg(F.sum("w").alias("w")).join(own, "a").join(totals, "to")
+    mine = F.col("to") == F.col("own")
+    # Gains times the graph's weight: whole for whole weights, so that no rounding makes a move.
+    choice = choice.withColumn("gain", F.col("w") * F.lit(twice) - F.col("k") * (F.col("total") - F.when(mine, F.col("k")).otherwise(F.lit(0))))
+    most = lambda way: F.max(F.when(way, F.struct("gain", "to")))
+    rows = choice.groupBy("a", "k", "own").agg(F.max(F.when(mine, F.col("w"))).alias("w"), F.max(F.when(mine, F.col("gain"))).alias("stay"), most(F.col("to") < F.col("own")).alias("down"), most(F.col("to") > F.col("own")).alias("up"))
+    better = lambda way: F.when(F.col(f"{way}.gain") > F.col("stay"), F.struct((F.col(f"{way}.gain") - F.col("stay")).alias("gain"), F.col(f"{way}.to").alias("to"))).alias(way)
+    return rows.select("a", "k", "own", "w", better("down"), better("up"))
+
+
+def _apart(judged: DataFrame) -> DataFrame:
+    """(a, to): moves no two of which leave or enter the same community, so that their gains add up; the best of all is
+    among them."""
+    best = F.when(F.col("down").isNull() | (F.col("up.gain") > F.col("down.gain")), F.col("up")).otherwise(F.col("down"))
+    moves = judged.select("a", "own", best.alias("m")).where("m IS NOT NULL").select("a", "own", "m.to", F.struct("m.gain", "a").alias("key"))
+    first = moves.select(F.explode(F.array("own", "to")).alias("c"), "key").groupBy("c").agg(F.max("key").alias("top"))
+    ends = moves.select("a", "to", "key", F.explode(F.array("own", "to")).alias("c")).join(first, "c").where("key = top")
+    return ends.groupBy("a", "to").agg(F.count("*").alias("n")).where("n = 2").select("a", "to")
+
+
+def _local_moves(edges: DataFrame) -> DataFrame:
+    """(node, community) from which no single node gains by a move to a neighbouring community.
+
+    Nodes move together, in turns towards smaller names only and towards larger ones only, to keep neighbours from
+    swapping. Moves made together can still lose; then they are taken back and a share of them, by a hash, is made
+    instead, in the end only moves that don't meet. So modularity rises by every round that stays, no division comes
+    twice, and the rounds end by themselves. edges: (a, b, weight) in both directions.
     """
+    edges = edges.where("weight > 0")
     degree = stored(edges.groupBy("a").agg(F.sum("weight").alias("k")))
-    twice = degree.agg(F.sum("k").alias("m2"))
-    members = stored(degree.select(F.col("a").alias("node"), F.col("a").alias("community")))
-    still = 0
-    for step in range(rounds):
-        own = members.select(F.col("node").alias("a"), F.col("community").alias("own"))
-        other = members.select(F.col("node").alias("b"), F.col("community").alias("to"))
-        totals = own.join(degree, "a").groupBy("own").agg(F.sum("k").alias("total"))
-        near = edges.where("a <> b").join(other, "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
-        stay = own.select("a", F.col("own").alias("to"), F.lit(0).cast(near.schema["w"].dataType).alias("w"))
-        choice = near.unionByName(stay).groupBy("a", "to").agg(F.sum("w").alias("w")).join(own, "a").join(degree, "a")
-        choice = choice.join(totals.withColumnRenamed("own", "to"), "to").crossJoin(twice)
-        mine = F.col("to") == F.col("own")
-        gain = F.col("w") - F.col("k") * (F.col("total") - F.when(mine, F.col("k")).otherwise(0)) / F.col("m2")
-        way = F.col("to") < F.col("own") if step % 2 == 0 else F.col("to") > F.col("own")
-        choice = choice.where(mine | way).select("a", "own", "to", F.struct(F.round(gain, 9).alias("gain"), mine.alias("mine"), "to").alias("key"))
-        new = stored(choice.groupBy("a", "own").agg(F.max_by("to", "key").alias("community")))
-        moved = new.where("own <> community").limit(1).count()
-        members = new.select(F.col("a").alias("node"), "community")
-        still = 0 if moved else still + 1
-        if still == 2:
+    twice = degree.agg(F.sum("k")).first()[0]
+    members = degree.select(F.col("a").alias("node"), "k", F.col("a").alias("community"))
+    kept, best, step, share = None, None, 0, 1
+    while twice:
+        judged = stored(_judged(edges, members, twice))
+        big = lambda c: F.col(c).cast("decimal(20,0)") if dict(judged.dtypes)["k"] == "bigint" else F.col(c)  # noqa: B023, E731
+        square = judged.groupBy("own").agg(F.sum("k").alias("total"), F.sum("w").alias("w")).agg(F.sum(big("w") * F.lit(twice) - big("total") * big("total"))).first()[0]
+        if best is not None and square <= best:
+            if share > LEAST_SHARE:  # moves apart gain; only rounding of broken weights leads here
+                break
+            share *= 4
+        else:
+            kept, best, share = judged, square, max(1, share // 2)
+        step += 1
+        way, back = ("down", "up") if step % 2 else ("up", "down")
+        counts = kept.agg(F.count(way).alias("there"), F.count(back).alias("back")).first()
+        if not counts["there"] and not counts["back"]:
             break
-    return members
+        if share > LEAST_SHARE:
+            moves = _apart(kept)
+        else:
+            moves = kept.select("a", F.col(f"{way if counts['there'] else back}.to").alias("to")).where("to IS NOT NULL")
+            moves = moves.where(F.pmod(F.xxhash64(F.lit(step), "a"), F.lit(share)) == 0)
+        members = kept.select("a", "k", "own").join(moves, "a", "left").select(F.col("a").alias("node"), "k", F.coalesce("to", "own").alias("community"))
+        members = stored(members)
+    return members.select("node", "community") if kept is None else kept.select(F.col("a").alias("node"), F.col("own").alias("community"))
 
 
-def communities(edges: DataFrame, levels: int = 3, rounds: int = 8) -> DataFrame:
-    """(node, community) by modularity: local moves, then the same over the graph of communities, deterministic.
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by modularity: local moves, then the same over the graph of communities, until no node and no
+    community moves; deterministic.
 
     edges: (a, b, weight), undirected. Communities are named by one of their nodes.
     """
     level = stored(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     members = None
-    for _ in range(levels):
-        step = _local_moves(level, rounds)
+    while True:
+        step = _local_moves(level)
         if members is None:
             members = step
         else:

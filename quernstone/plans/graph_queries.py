@@ -124,10 +124,8 @@ def partition_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def communities_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of customers and the parts' brands they order, found by local moves (an iteration, beyond SQL)."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    edges = lines.select(F.concat(F.lit("p"), F.col("l_partkey") % 500).alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).groupBy("source", "target").agg(F.count("*").alias("weight"))
-    return graph.communities(graph.undirected(edges))
+    """Communities of all parts and suppliers by the line items they share, found by local moves (an iteration, beyond SQL)."""
+    return graph.communities(graph.undirected(_merged(spark, sf_dir)))
 
 
 @query()

@@ -58,3 +58,42 @@ def test_modularity_by_hand(spark):
 def test_context(spark):
     members = spark.createDataFrame([("x", "1", 5, "law", "about"), ("y", "1", 7, "concept", ""), ("z", "1", 5, "concept", None)], "node string, community string, degree long, type string, description string")
     assert G.community_context(members, 2).first().context == "- y [concept]: описание отсутствует\n- x [law]: about"
+
+
+def test_communities_end_where_no_node_gains(spark):
+    rng = random.Random(11)
+    names = [f"n{i:03d}" for i in range(240)]
+    edges = {tuple(sorted(rng.sample(names, 2))): rng.randint(1, 3) for _ in range(900)}
+    found = {r.node: r.community for r in G.communities(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a string, b string, weight long")).collect()}
+    # The last level, whose nodes are the communities: no two of them gain by becoming one.
+    total, between, m2 = {}, {}, 2 * sum(edges.values())
+    for (a, b), w in edges.items():
+        for x, y in ((a, b), (b, a)):
+            total[found[x]] = total.get(found[x], 0) + w
+            between[found[x], found[y]] = between.get((found[x], found[y]), 0) + w
+    assert all(w * m2 <= total[c] * total[d] for (c, d), w in between.items() if c != d)
+    assert set(found) == {x for e in edges for x in e}
+
+
+def test_local_moves_end_where_no_node_gains(spark):
+    n, edges = 400, []
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}", 1) for i in range(n - 1)]  # a chain, along which moves need many rounds
+    both = spark.createDataFrame([*edges, *((b, a, w) for a, b, w in edges)], "a string, b string, weight long")
+    found = {r.node: r.community for r in G._local_moves(both).collect()}
+    k, near, total = {}, {}, {}
+    for a, b, w in [*edges, *((b, a, w) for a, b, w in edges)]:
+        k[a] = k.get(a, 0) + w
+        near.setdefault(a, {}).setdefault(found[b], 0)
+        near[a][found[b]] += w
+    for x, d in k.items():
+        total[found[x]] = total.get(found[x], 0) + d
+    gain = lambda x, c: near[x].get(c, 0) * 2 * len(edges) - k[x] * (total[c] - (k[x] if c == found[x] else 0))
+    assert all(gain(x, c) <= gain(x, found[x]) for x in k for c in near[x])
+
+
+def test_communities_query_has_every_part(spark, sf):
+    from quernstone.plans.graph_queries import communities_modularity
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    nodes = {f"p{r[0]}" for r in lines.select("l_partkey").distinct().collect()} | {f"s{r[0]}" for r in lines.select("l_suppkey").distinct().collect()}
+    assert {r.node for r in communities_modularity(spark, f"{sf}").collect()} == nodes
