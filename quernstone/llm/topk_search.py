@@ -7,7 +7,9 @@ that can't reach the query's k-th best score so far goes, and exact products are
 
 Queries and candidates meet in blocks of bounded size, each task gives at most k rows a query, and the final choice
 prunes again before its shuffle. Vectors that are null or hold null or non-finite components take no part; repeated
-rows take part as often as they come, and no row is a candidate for its own key. Score ties go to the smaller key.
+rows are candidates as often as they come, and no row is a candidate for its own key. Score ties go to the smaller key.
+A query that comes more than once is searched once, whatever the blocks. A query key with several vectors is searched
+by each of them, and a candidate row counts once, by its best score.
 An empty table gives an empty result. All vectors need the same length.
 """
 
@@ -45,8 +47,10 @@ def distance_bound(q: tuple, x: tuple) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (query position, candidate key, score) of each query's k best candidates, ties to the smaller key."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int = K, x_rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (query position, candidate key, score) of each query's k best candidates, ties to the smaller key; x_rows
+    stand for the keys in ties and in the result where they are given."""
+    x_rows = x_ids if x_rows is None else x_rows
     exact = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) ** 2 * q.shape[1] < 2**52
     if not exact:  # products beyond the whole numbers of a double
         q, x = q.astype(np.int64), x.astype(np.int64)
@@ -87,7 +91,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndar
         touched = np.unique(i)
         all_q = np.concatenate([np.repeat(touched, k), i])
         all_s = np.concatenate([best_s[touched].ravel(), score])
-        all_i = np.concatenate([best_i[touched].ravel(), x_ids[part[j]]])
+        all_i = np.concatenate([best_i[touched].ravel(), x_rows[part[j]]])
         rank = np.lexsort((all_i, -all_s, all_q))
         all_q, all_s, all_i = all_q[rank], all_s[rank], all_i[rank]
         place = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
@@ -114,17 +118,20 @@ def top_k(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", embeddi
     # Whole rows are hashed with their partition's running number, so that equal rows spread too.
     deal = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
     candidates = rows.select(deal(cg).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(qg - 1))).alias("q"), "id", "v")
-    queries = rows.where("is_query").select(deal(qg).alias("q"), "id", "v").select(F.explode(F.sequence(F.lit(0), F.lit(cg - 1))).alias("c"), "q", "id", "v")
+    # Queries are dealt by key: all vectors of a key meet a candidate in one task.
+    queries = rows.where("is_query").select("id", "v").distinct().select(F.pmod(F.xxhash64("id"), F.lit(qg)).cast("int").alias("q"), "id", "v").select(F.explode(F.sequence(F.lit(0), F.lit(cg - 1))).alias("c"), "q", "id", "v")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        # A query that comes more than once is searched once; its rows share the answer.
-        q = left.drop_duplicates("id")
+        right = right.sort_values("id", kind="stable")
         matrix = lambda s: np.stack(s.to_list()).astype(float)
-        ids = q["id"].to_numpy(np.int64)
-        row, key_, score = search_block(ids, matrix(q["v"]), right["id"].to_numpy(np.int64), matrix(right["v"]), k)
-        return pd.DataFrame({"query_id": ids[row], "vec_id": key_, "score": score})
+        q_ids, x_ids = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
+        row, at, score = search_block(q_ids, matrix(left["v"]), x_ids, matrix(right["v"]), k, np.arange(len(x_ids)))
+        best = pd.DataFrame({"query_id": q_ids[row], "at": at, "score": score})
+        if len(np.unique(q_ids)) < len(q_ids):
+            best = best.groupby(["query_id", "at"], as_index=False)["score"].max()
+        return pd.DataFrame({"query_id": best["query_id"], "vec_id": x_ids[best["at"]], "score": best["score"]})
 
     found = queries.groupBy("c", "q").cogroup(candidates.groupBy("c", "q")).applyInPandas(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

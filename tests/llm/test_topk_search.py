@@ -48,3 +48,21 @@ def test_edge_cases(spark):
     got = sorted(map(tuple, K.top_k(df, F.col("vec_id") % 20 == 0, k=3).collect()))
     assert got == [(0, 1, 1, 4096), (0, 2, 7, 4096), (0, 3, 7, 4096), (20, 1, 1, 4096), (20, 2, 7, 4096), (20, 3, 7, 4096)]
     assert K.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size", [4096, 7])
+def test_repeated_query_rows_and_vectors(spark, monkeypatch, size):
+    monkeypatch.setattr(K, "TASK_QUERIES", size)
+    monkeypatch.setattr(K, "TASK_CANDIDATES", 3 * size)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 10, 6).tolist()) for i in range(100)]
+    rows += [rows[i] for i in range(0, 100, 5) for _ in range(3)]  # queries and candidates as they are
+    rows += [(i, rng.integers(-9, 10, 6).tolist()) for i in range(0, 100, 10)]  # another vector of the same key
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>").repartition(5)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in K.top_k(df, F.col("vec_id") % 5 == 0, k=20, scale=1).collect())
+    want = []
+    for q in range(0, 100, 5):
+        vectors = [np.array(v) for i, v in rows if i == q]
+        scored = sorted((-max(int(v @ np.array(x)) for v in vectors), i) for i, x in rows if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert got == want
