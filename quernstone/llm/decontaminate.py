@@ -12,8 +12,10 @@ item's shingle, or ends with the document, is at least as similar as any other i
 once for each distinct window.
 
 Null and empty texts have no windows; null and empty items match nothing. A text shorter than an item is one window.
-Equal texts share their answer, so repeated rows and ids are safe. Ties of windows go to the first. Only the columns
-named are read; others may have any name.
+Equal texts share their answer, so repeated rows are safe. Items are searched by their words: of an id with several
+texts each is searched, and the most similar counts for the id. An item without an id has no row in the pairs, but a
+document that holds it is dropped. Ties of windows go to the first. Only the columns named are read; others may have
+any name.
 """
 
 from __future__ import annotations
@@ -78,8 +80,11 @@ def _stride(least: int, similarity: float) -> int:
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(t1, t2, item_id, similarity, start_word): each distinct text, by its 128-bit key, and each item found in it."""
-    words = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).alias("item_id"), _words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
+    """(t1, t2, item_id, similarity, start_word): each distinct text, by its 128-bit key, and each item found in it; item_id
+    is null for items without an id."""
+    words = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item_id"), _words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
+    words = words.withColumn("item", F.md5(F.array_join("w", " ").cast("binary")))
+    names = words.select("item", "item_id").distinct()
     words = words.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE_WORDS)))
     sizes = words.groupBy("size").agg(F.min(F.size("w")).alias("least")).collect()  # five rows at most
     texts = docs.where(F.col(text).isNotNull()).select(*_text_key(F.col(text)), F.col(text).alias("text"))
@@ -89,13 +94,15 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
         found = part if found is None else found.unionByName(part)
     if found is None:
         return texts.where("false").selectExpr("t1", "t2", "cast(null AS bigint) item_id", "cast(null AS double) similarity", "cast(null AS bigint) start_word")
-    return found
+    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("before")))
+    out = found.join(names, "item").groupBy("t1", "t2", "item_id").agg(best.alias("b"))
+    return out.select("t1", "t2", "item_id", "b.similarity", (-F.col("b.before")).alias("start_word"))
 
 
 def _of_size(texts: DataFrame, words: DataFrame, size: int, least: int, similarity: float, radius: int) -> DataFrame:
-    items = stored(words.select("item_id", _shingles(F.col("w"), size).alias("shingles")).withColumn("m", F.size("shingles")).dropDuplicates(["item_id"]))
-    shingles = items.select("item_id", "m", F.explode("shingles").alias("h"))
-    weights = shingles.groupBy("item_id", "m", "h").agg(F.count("*").alias("weight"))
+    items = stored(words.select("item", _shingles(F.col("w"), size).alias("shingles")).withColumn("m", F.size("shingles")).dropDuplicates(["item"]))
+    shingles = items.select("item", "m", F.explode("shingles").alias("h"))
+    weights = shingles.groupBy("item", "m", "h").agg(F.count("*").alias("weight"))
     vocabulary = shingles.select("h").distinct()
     step = _stride(max(1, least - size + 1), similarity)
     # Texts that hold an item's shingle at a multiple of the stride, then all their shingles.
@@ -104,7 +111,7 @@ def _of_size(texts: DataFrame, words: DataFrame, size: int, least: int, similari
     held = texts.join(near, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     held = stored(held.select("t1", "t2", _shingles(_words(F.col("text")), size).alias("all")))
     places = held.select("t1", "t2", F.size("all").alias("n"), F.posexplode("all").alias("pos", "h")).join(weights, "h")
-    lists = places.groupBy("t1", "t2", "n", "item_id", "m").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    lists = places.groupBy("t1", "t2", "n", "item", "m").agg(F.sort_array(F.collect_list("pos")).alias("p"))
     # Windows of the item's size (or the whole text) that hold enough places.
     span = F.least("m", "n")
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + span) - F.lit(1e-9)).cast("int")
@@ -112,28 +119,28 @@ def _of_size(texts: DataFrame, words: DataFrame, size: int, least: int, similari
     inner = F.transform(F.sequence(F.lit(1), F.size("p") - F.col("need") + 1), lambda i: F.struct(F.element_at("p", i).alias("start"), F.element_at("p", i + F.col("need") - 1).alias("end")))
     starts = F.transform(F.filter(inner, lambda x: (x["start"] <= F.col("n") - F.col("span")) & (x["end"] < x["start"] + F.col("span"))), lambda x: x["start"])
     tail = F.when(F.element_at("p", F.size("p") - F.col("need") + 1) >= F.col("n") - F.col("span"), F.array(F.col("n") - F.col("span"))).otherwise(F.array().cast("array<int>"))
-    windows = lists.select("t1", "t2", "item_id", "m", "span", F.explode(F.array_distinct(F.concat(starts, tail))).alias("start")).join(held, ["t1", "t2"])
-    windows = windows.select("t1", "t2", "item_id", "m", "start", F.expr("slice(all, start + 1, span)").alias("window"))
+    windows = lists.select("t1", "t2", "item", "m", "span", F.explode(F.array_distinct(F.concat(starts, tail))).alias("start")).join(held, ["t1", "t2"])
+    windows = windows.select("t1", "t2", "item", "m", "start", F.expr("slice(all, start + 1, span)").alias("window"))
     windows = stored(windows.select("*", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(1), "window").alias("w2")))
     distinct = windows.dropDuplicates(["w1", "w2"]).select("w1", "w2", "window")
     prints = _simhash(distinct, ["w1", "w2"], "window")
-    item_prints = _simhash(items, ["item_id"], "shingles").select("item_id", F.col("fp").alias("item_fp"))
-    asked = windows.select("w1", "w2", "item_id", "m").distinct().join(prints, ["w1", "w2"])
+    item_prints = _simhash(items, ["item"], "shingles").select("item", F.col("fp").alias("item_fp"))
+    asked = windows.select("w1", "w2", "item", "m").distinct().join(prints, ["w1", "w2"])
     left = asked.select("*", F.explode(_blocks(F.col("fp"), radius)).alias("key"))
     right = item_prints.select("*", F.explode(_blocks(F.col("item_fp"), radius)).alias("key"))
-    pairs = left.join(right, ["item_id", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("w1", "w2", "item_id", "m").distinct()
-    counted = pairs.join(distinct, ["w1", "w2"]).select("w1", "w2", "item_id", "m", F.size("window").alias("span"), F.explode("window").alias("h")).groupBy("w1", "w2", "item_id", "m", "span", "h").agg(F.count("*").alias("c"))
-    shared = counted.join(weights.drop("m"), ["item_id", "h"]).groupBy("w1", "w2", "item_id", "m", "span").agg(F.sum(F.least("c", "weight")).alias("o"))
-    alike = shared.select("w1", "w2", "item_id", (F.col("o") / (F.col("m") + F.col("span") - F.col("o"))).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
-    hits = windows.select("w1", "w2", "item_id", "t1", "t2", "start").join(alike, ["w1", "w2", "item_id"])
+    pairs = left.join(right, ["item", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("w1", "w2", "item", "m").distinct()
+    counted = pairs.join(distinct, ["w1", "w2"]).select("w1", "w2", "item", "m", F.size("window").alias("span"), F.explode("window").alias("h")).groupBy("w1", "w2", "item", "m", "span", "h").agg(F.count("*").alias("c"))
+    shared = counted.join(weights.drop("m"), ["item", "h"]).groupBy("w1", "w2", "item", "m", "span").agg(F.sum(F.least("c", "weight")).alias("o"))
+    alike = shared.select("w1", "w2", "item", (F.col("o") / (F.col("m") + F.col("span") - F.col("o"))).alias("similarity")).where(F.col("similarity") >= similarity - 1e-12)
+    hits = windows.select("w1", "w2", "item", "t1", "t2", "start").join(alike, ["w1", "w2", "item"])
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before")))
-    out = hits.groupBy("t1", "t2", "item_id").agg(best.alias("b"))
-    return out.select("t1", "t2", "item_id", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.before")).cast("long").alias("start_word"))
+    out = hits.groupBy("t1", "t2", "item").agg(best.alias("b"))
+    return out.select("t1", "t2", "item", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.before")).cast("long").alias("start_word"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, item_id, similarity, start_word) of each document and each benchmark item found in it."""
-    found = stored(matches(docs, items, text, **options))
+    found = stored(matches(docs, items, text, **options).where("item_id IS NOT NULL"))
     rows = docs.select(F.col(key), *_text_key(F.col(text)))
     return rows.join(found, ["t1", "t2"]).select(key, "item_id", "similarity", "start_word")
 

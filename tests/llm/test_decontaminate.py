@@ -59,3 +59,14 @@ def test_stride_is_safe():
         for m in range(max(1, int(0.8 * least)), 300):
             foreign = m - -(-2 * 8 * m // 18)
             assert m // s > foreign or s == 1
+
+
+def test_repeated_and_null_item_ids(spark):
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    one, two, three, nameless = text("a", 20), text("b", 30), text("c", 3), text("d", 25)
+    near = two.replace("b29", "new")  # less similar to two than two itself
+    items = spark.createDataFrame([(1, one), (1, two), (1, near), (1, three), (1, one), (2, one), (None, nameless), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"x {one} y"), (11, f"x y {two}"), (12, three), (13, f"{nameless} x"), (14, text("z", 40)), (15, f"{one} {two}")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity, r.start_word) for r in D.contaminated(docs, items).collect())
+    assert got == [(10, 1, 1.0, 1), (10, 2, 1.0, 1), (11, 1, 1.0, 2), (12, 1, 1.0, 0), (15, 1, 1.0, 0), (15, 2, 1.0, 0)]
+    assert [r.doc_id for r in D.drop_contaminated(docs, items).collect()] == [14]
