@@ -103,8 +103,14 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
+def every_entity(counts: DataFrame) -> DataFrame:
+    """(entity, tokens): the built-in entities and all terms of four letters and more, in place of an extracted entity list."""
+    terms = lexical.vocabulary(counts).where(F.length("term") >= 4)
+    return ranking.known_entities(counts.sparkSession, terms.select(F.col("term").alias("entity")))
+
+
 def frequent_terms(counts: DataFrame, n: int = ENTITIES) -> DataFrame:
-    """(entity, tokens): the most frequent terms of four letters and more, in place of an extracted entity list."""
+    """(entity, tokens): the most frequent terms of four letters and more, as the SQL of the boosted queries takes them."""
     terms = lexical.vocabulary(counts).where(F.length("term") >= 4).orderBy(F.desc("df"), "term").limit(n)
     return terms.select(F.col("term").alias("entity"), F.array("term").alias("tokens"))
 
@@ -263,5 +269,5 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit("").alias("image"))
     counts = lexical.counted(_docs(spark, sf_dir))
-    rows = answering.answered(_questions(spark, sf_dir), docs, _vectors(spark, sf_dir), pages, frequent_terms(counts), counts=counts)
+    rows = answering.answered(_questions(spark, sf_dir), docs, _vectors(spark, sf_dir), pages, every_entity(counts), counts=counts)
     return answering.answer_events(rows)

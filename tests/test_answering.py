@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quernstone.operators import lexical
 from quernstone.functions import rules
 from quernstone.plans.answering import answer_events, answered
 from quernstone.plans.corpus_build import build
@@ -30,3 +31,13 @@ def test_corpus_build(spark):
     assert freq["иванов"] == 3 and freq["петрова"] == 2
     assert {r.node for r in t["communities"].collect()} == {"Иванов", "Петрова", "Сидорова"}
     assert t["nodes"].count() == t["chunks"].count() + t["summaries"].count() and t["postings"].where("term = 'иванов'").count() >= 3
+
+
+def test_questions_are_boosted_by_every_term(spark):
+    from quernstone.functions import rules
+    from quernstone.plans.retrieval_queries import ENTITIES, every_entity
+
+    words = [f"слово{chr(1072 + i // 30)}{chr(1072 + i % 30)}" for i in range(2 * ENTITIES)]
+    docs = spark.createDataFrame([(i, f"{w} или") for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r.entity: list(r.tokens) for r in every_entity(lexical.counted(lexical.tokens_of(docs, "doc_id", "text"))).collect()}
+    assert all(got[w] == [w] for w in words) and set(got) == {*words, *rules.BASE_ENTITIES}
