@@ -1,33 +1,19 @@
-"""What the operators share: where intermediate tables go, and how a lineage is cut."""
+"""What the operators share: reading a table, intermediate tables, joins of checked size, and slices of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.session import worker_path
+from quernstone.storage import discard, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: computed once, and readable after any executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/quernstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bounded", "discard", "read", "stored", "text_slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """rows, a written table of few and narrow columns, marked for broadcast if it has at most so many rows; beyond that
+    it is shuffled, and Spark's own filter of join keys keeps what doesn't match out of the shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def text_slices(column: pa.Array, size: int) -> Iterator[list[str]]:
     """The texts of an Arrow column in order, null as empty, in lists of at most so many bytes; a longer text is alone.
 
