@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-A word's input is its own embedding, by a hash of the whole word, beside the mean embedding of its character n-grams
-with marks at both ends. Both are projected to the gates once for each distinct word of a batch. Two gated recurrent
+A word's input is its own embedding, by a hash of the whole word, beside the sum of the embeddings of its character
+n-grams, with marks at both ends, over the root of their number. Both are projected to the gates once for each distinct word of a batch. Two gated recurrent
 layers read a window forwards and backwards; attention weighs their states; a logistic unit scores the pooled state.
 """
 
@@ -118,6 +118,19 @@ class BiGru:
             "w_o": init(2 * HIDDEN), "b_o": np.zeros((), np.float32),
         }
 
+    def __getstate__(self) -> dict:
+        """Only embedding rows that aren't zero: those that training met."""
+        some = {name: np.flatnonzero(getattr(self, name).any(1)).astype(np.int32) for name in ("word", "gram")}
+        return {"dense": self.dense, **{name: (len(getattr(self, name)), rows, getattr(self, name)[rows]) for name, rows in some.items()}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.dense = state["dense"]
+        for name in ("word", "gram"):
+            n, rows, values = state[name]
+            table = np.zeros((n, values.shape[1]), values.dtype)
+            table[rows] = values
+            setattr(self, name, table)
+
     def inputs(self, words: Words) -> np.ndarray:
         """The embedding of each distinct word: of the word itself, then of its characters."""
         out = np.empty((len(words.bucket), WORD_DIM + GRAM_DIM), np.float32)

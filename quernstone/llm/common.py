@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quernstone.session import worker_path
 from quernstone.storage import discard, stored
 
-__all__ = ["bounded", "discard", "read", "stored", "text_slices"]
+__all__ = ["bounded", "discard", "read", "stored", "text_slices", "tidied"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,16 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The batches; behind the last the worker's free memory goes back to the machine, as Spark keeps idle workers."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_slices(column: pa.Array, size: int) -> Iterator[list[str]]:
     """The texts of an Arrow column in order, null as empty, in lists of at most so many bytes; a longer text is alone.
 

@@ -1,8 +1,8 @@
 """Operator 1: toxicity, by a bidirectional gated recurrent network with attention pooling (see bigru.py).
 
-The network is trained in numpy on a bounded sample of labelled documents: of all rows that may be learnt from, the
-first TRAIN_TOXIC toxic and TRAIN_CLEAN clean ones by a hash of their id, less texts beyond TRAIN_CHARS. Rows whose
-crc32(doc_id as text) mod 3 is 1 are held out. A score depends on the text alone: the highest probability of all its
+The network is trained in numpy, by one task of an executor, on a bounded sample of labelled documents: of all rows
+that may be learnt from and have at most TRAIN_CHARS characters, the first TRAIN_TOXIC toxic and TRAIN_CLEAN clean ones
+by a hash of their id. Rows whose crc32(doc_id as text) mod 3 is 1 are held out. A score depends on the text alone: the highest probability of all its
 overlapping windows of 64 words, every 32 words, over the whole text.
 
 Null and empty texts, and texts without a word, have one empty window and so a score too. Repeated rows each get their
@@ -13,6 +13,7 @@ input that are named like results are replaced by them; all others pass through.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import bigru
-from quernstone.llm.common import read, text_slices
+from quernstone.llm.common import read, text_slices, tidied
 from quernstone.session import worker_path
 
 THRESHOLD = 0.7
@@ -43,31 +44,45 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from, bounded by TRAIN_TOXIC, TRAIN_CLEAN and TRAIN_CHARS."""
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(t, y) in a fixed order: texts and labels to learn from, bounded by TRAIN_TOXIC, TRAIN_CLEAN and TRAIN_CHARS."""
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= TRAIN_CHARS)
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("k")))
     order = F.xxhash64(F.lit("train"), F.col("k"))
-    known = known.groupBy("k").agg(F.max("y").cast("int").alias("y")).withColumn("h", order)
+    known = known.groupBy("k").agg(F.max("y").cast("int").alias("y")).join(rows.select("k"), "k", "left_semi").withColumn("h", order)
     chosen = known.where("y = 1").orderBy("h").limit(TRAIN_TOXIC).unionByName(known.where("y = 0").orderBy("h").limit(TRAIN_CLEAN))
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.length("t") <= TRAIN_CHARS)
-    found = rows.join(F.broadcast(chosen), "k").orderBy("h", "t").limit(TRAIN_TOXIC + TRAIN_CLEAN).select("t", "y").collect()
-    return [r["t"] for r in found], [r["y"] for r in found]
+    return rows.join(F.broadcast(chosen), "k").orderBy("h", "t").limit(TRAIN_TOXIC + TRAIN_CLEAN).select("t", "y")
+
+
+def train(texts: list[str], y: list[int]):
+    return bigru.train(texts, y) if 0 < sum(y) < len(y) else Constant(sum(y) / max(1, len(y)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic"):
-    texts, y = sample(docs, labels, key, text, label)
-    if 0 < sum(y) < len(y):
-        return bigru.train(texts, y)
-    return Constant(sum(y) / max(1, len(y)))
+    """The model. Its bounded sample meets in one task of an executor, which trains and gives back the weights alone;
+    a task that is lost runs again to the same weights."""
+    worker_path(docs.sparkSession)
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for block in blocks:
+            texts += block.column(0).to_pylist()
+            y += block.column(1).to_pylist()
+        model = pickle.dumps(train(texts, y))
+        del texts, y
+        yield from tidied(iter([pa.RecordBatch.from_pydict({"model": [model]})]))
+
+    found = sample(docs, labels, key, text, label).coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else Constant(0.0)
 
 
 def scorer(spark: SparkSession, model):
     """A column function: the model's score of a text column."""
-    shared = worker_path(spark).sparkContext.broadcast(model)  # of fixed size, about 25 MB
+    shared = worker_path(spark).sparkContext.broadcast(model)  # of bounded size: rows that training met, 25 MB at most
 
     @F.arrow_udf("double")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
+        for column in tidied(columns):
             parts = [shared.value.scores(texts) for texts in text_slices(column, bigru.CHARS_AT_A_TIME)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 

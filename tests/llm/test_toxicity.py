@@ -1,3 +1,4 @@
+import pickle
 import re
 import zlib
 
@@ -115,3 +116,30 @@ def test_edge_cases(spark):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == len(rows)
     assert toxicity.fit(docs.limit(0), labels.limit(0)).score == 0
+
+
+def test_network_survives_the_way_from_its_task():
+    texts = ["some words", "", "x y z " * 50]
+    net = small_net()
+    net.word[::3] = 0
+    net.gram[5:900] = 0
+    again = pickle.loads(pickle.dumps(net))
+    assert np.array_equal(again.word, net.word) and np.array_equal(again.gram, net.gram)
+    assert np.array_equal(again.scores(texts), net.scores(texts))
+
+
+def test_query_scores_as_the_trained_network_does(spark, sf):
+    """The query against the network of the same sample, trained here, window by window and word by word."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.sample(docs, labels).collect()
+    net = toxicity.train([r.t for r in rows], [r.y for r in rows])
+    got = {r.doc_id: r.score for r in toxicity.op1_toxicity(spark, sf).collect()}
+    texts = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: len(x[1]))[:60]
+    assert np.allclose([got[i] for i, _ in texts], slow_scores(net, [t for _, t in texts]), atol=1e-4)
+
+
+def test_long_texts_leave_room_for_others(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOXIC", 2)
+    docs = spark.createDataFrame([(i, "bad " * (9_000 if i < 20 else 5)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, toxic int")
+    assert [r.y for r in toxicity.sample(docs, labels).collect()] == [1, 1]
