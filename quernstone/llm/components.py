@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import stored
+from quernstone.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,25 +19,28 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = stored(edges.union(edges.select("b", "a")).distinct())
     label = stored(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
+        before = pairs
         # Edges between labels; an edge inside a component is done.
         left = label.select(F.col("node").alias("a"), F.col("component").alias("la"))
         right = label.select(F.col("node").alias("b"), F.col("component").alias("lb"))
         pairs = stored(pairs.join(left, "a").join(right, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        discard(before)
         hook = pairs.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("low")).where("low < root")
         hook = stored(hook)
         if hook.isEmpty():
+            discard(pairs, hook)
             break
         # From now on edges run between roots. A root's new label is the end of its chain of hooks.
-        chain = hook.select("root", F.col("low").alias("end"))
+        chain, old = hook.select("root", F.col("low").alias("end")), [label, hook]
         while True:
-            nxt = hook_step(chain)
-            nxt = stored(nxt)
-            if nxt.where("moved").isEmpty():
-                chain = nxt.select("root", "end")
+            step = stored(hook_step(chain))
+            old.append(step)
+            chain = step.select("root", "end")
+            if step.where("moved").isEmpty():
                 break
-            chain = nxt.select("root", "end")
         moved = label.join(chain, label["component"] == chain["root"], "left")
         label = stored(moved.select("node", F.coalesce("end", "component").alias("component")))
+        discard(*old)
     return label
 
 

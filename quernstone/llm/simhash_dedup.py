@@ -1,17 +1,25 @@
 """Operator 9: SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints: one bit is set if it is set in over half the XXH64 values of a text's word shingles. Distinct
-fingerprints are dealt to tiles by their population count (and, in large sets, their leading bits). Two fingerprints
-within the radius have population counts within the radius, so tile pairs further apart are skipped; the others are
-compared whole, by numpy exclusive-or and bit counts. Inside a tile pair sub-tiles of equal leading bits are skipped
-on the same ground: the bits in which their prefixes differ are already beyond the radius.
-
-A tile pair gives a spanning forest of its links instead of all links, so that a group of n copies gives n rows.
-Null and empty texts have no words: fingerprint zero, linked like any other. Ties are by the smaller id.
+fingerprints are dealt to tiles by their population count, in large sets by the population counts of several segments of
+their bits. The counts of two fingerprints within the radius differ by no more than the radius in sum, so tile pairs
+further apart are skipped; the others are compared whole, by numpy exclusive-or and bit counts. Inside a tile pair
+sub-tiles of equal leading bits are skipped on the same ground: the bits in which their prefixes differ are already
+beyond the radius.
+
+A tile pair gives a spanning forest of its links instead of all links, so that a group of n copies gives n rows. A
+fingerprint's rows are counted before they meet, and fingerprints of many rows get their component by a broadcast of
+checked size, so that no group of copies goes through one task.
+
+Null and empty texts have no words: fingerprint zero, linked like any other. Ties are by the smaller id. Rows are linked,
+not ids: unlike texts of one id stay apart. Rows without an id take no part in linking; op9's result holds them with a
+null component, and drop_near_duplicates keeps them, as they can't be named as a copy.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,14 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import read, stored, text_slices
+from quernstone.llm.common import bounded, read, stored, text_slices, tidied
 from quernstone.llm.components import components
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Distinct fingerprints that a tile is meant to hold at most; sets with more are dealt by leading bits too.
-TILE_ROWS = 1 << 18
+#: Distinct fingerprints that a tile is meant to hold at most; sets with more are dealt by more segments.
+TILE_ROWS = 1 << 19
+#: Rows from which a fingerprint's rows are hot: they get their component by broadcast. There are at most one in so many
+#: as there are rows, and no more than MAX_HOT.
+HOT_ROWS, MAX_HOT = 10_000, 100_000
 #: Fingerprints of a sub-tile, and of the arrays compared at a time.
 SUB_ROWS, BLOCK = 64, 1 << 20
 #: Keys, at 8 bytes and a hash entry each, up to which those that go are broadcast.
@@ -55,16 +66,16 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS, seed:
     return int(bits.view("<u8")[0])
 
 
-def with_fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) of each row; fp is the fingerprint as a signed 64-bit number."""
-    schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType())])
+def with_fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """(key, fp, more) of each row; fp is the fingerprint as a signed 64-bit number."""
+    schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType()), *(df.schema[c] for c in more)])
 
     def run(blocks):
-        for block in blocks:
+        for block in tidied(blocks):
             values = np.array([fingerprint(t) for texts in text_slices(block.column(1), BATCH_BYTES) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(values)], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(values), *block.columns[2:]], names=[key, "fp", *more])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text, *more).mapInArrow(run, schema)
 
 
 def _neighbours(bits: int, radius: int) -> np.ndarray:
@@ -73,21 +84,41 @@ def _neighbours(bits: int, radius: int) -> np.ndarray:
     return masks[np.bitwise_count(masks) <= radius]
 
 
-def _deal(radius: int, lead: int):
-    """Each (fp, rep) to every tile pair in which its tile takes part."""
-    masks = _neighbours(lead, radius)
+def segments_of(n: int, tile_rows: int, most: int = 8) -> int:
+    """The fewest segments by whose population counts the fullest tile of n random fingerprints has no more rows than that."""
+    for k in range(1, most):
+        widths = [64 // k + (i < 64 % k) for i in range(k)]
+        if n * math.prod(math.comb(w, w // 2) / 2**w for w in widths) <= tile_rows:
+            return k
+    return most
+
+
+def _steps(segments: int, radius: int) -> np.ndarray:
+    """All whole vectors of so many places whose absolute values sum to the radius at most."""
+    out = [[]]
+    for _ in range(segments):
+        out = [[*v, d] for v in out for d in range(-radius, radius + 1) if sum(map(abs, v)) + abs(d) <= radius]
+    return np.array(out, np.int64)
+
+
+def _deal(radius: int, segments: int):
+    """Each (fp, rep) to every tile pair in which its tile takes part; a tile is its segments' counts, 7 bits each."""
+    steps = _steps(segments, radius)
+    widths = np.array([64 // segments + (i < 64 % segments) for i in range(segments)])
+    lows = np.cumsum(widths) - widths
+    places = 7 * np.arange(segments)
 
     def run(frames):
         for frame in frames:
-            fp = frame["fp"].to_numpy(np.int64)
-            count = np.bitwise_count(fp.view(np.uint64)).astype(np.int64)
-            prefix = (fp.view(np.uint64) >> np.uint64(64 - lead)).astype(np.int64) if lead else np.zeros(len(fp), np.int64)
-            own = (count << 32) | prefix
-            for step in range(-radius, radius + 1):
-                ok = (count + step >= 0) & (count + step <= 64)
-                for mask in masks.tolist():
-                    other = ((count + step) << 32) | (prefix ^ mask)
-                    yield pd.DataFrame({"t1": np.minimum(own, other)[ok], "t2": np.maximum(own, other)[ok], "first": (own <= other)[ok], "fp": fp[ok], "rep": frame["rep"].to_numpy()[ok]})
+            fp, rep = frame["fp"].to_numpy(np.int64), frame["rep"].to_numpy()
+            bits = fp.view(np.uint64)
+            counts = np.column_stack([np.bitwise_count((bits >> np.uint64(low)) & np.uint64((1 << int(w)) - 1)) for low, w in zip(lows, widths, strict=True)]).astype(np.int64)
+            own = (counts << places).sum(1)
+            for step in steps:
+                near = counts + step
+                ok = ((near >= 0) & (near <= widths)).all(1)
+                mine, other = own[ok], (near[ok] << places).sum(1)
+                yield pd.DataFrame({"t1": np.minimum(mine, other), "t2": np.maximum(mine, other), "first": mine <= other, "fp": fp[ok], "rep": rep[ok]})
 
     return run
 
@@ -169,43 +200,61 @@ def _forest(radius: int):
 
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges (a, b) between representatives of distinct fingerprints (fp, rep) that connect what is within the radius."""
-    n = prints.count()
-    # A tenth of random fingerprints share the commonest population count.
-    lead = max(0, int(np.ceil(np.log2(max(1, n / 10 / tile_rows)))))
-    dealt = prints.mapInPandas(_deal(radius, min(lead, 20)), "t1 long, t2 long, first boolean, fp long, rep long")
+    segments = segments_of(prints.count(), tile_rows)
+    dealt = prints.mapInPandas(_deal(radius, segments), "t1 long, t2 long, first boolean, fp long, rep long")
     return dealt.groupBy("t1", "t2").applyInPandas(_forest(radius), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(key, fp, component_id) of each row with a key: the smallest key reachable over links."""
     docs = stored(with_fingerprint(df.where(F.col(key).isNotNull()), key, text))
-    prints = stored(docs.groupBy("fp").agg(F.min(key).cast("long").alias("rep")))
-    found = components(link_fingerprints(prints, radius))
-    # Only fingerprints that are linked to a smaller representative change their label.
-    moved = found.where("node != component")
-    label = prints.join(moved, prints["rep"] == moved["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return docs.join(label, "fp").select(key, "fp", "component_id")
+    return _labelled(docs, key, radius)
+
+
+def _labelled(docs: DataFrame, key: str, radius: int) -> DataFrame:
+    """docs, a written table with key and fp, with component_id."""
+    prints = stored(docs.groupBy("fp").agg(F.min(key).cast("long").alias("low"), F.count("*").alias("n")))
+    found = components(link_fingerprints(prints.select("fp", F.col("fp").alias("rep")), radius))
+    # Nodes are fingerprints, so that unlike texts of one key stay apart; a component's id is its smallest key.
+    rooted = prints.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp")
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    moved = rooted.join(lowest, "root").where("component_id <> low").select("fp", "component_id")
+    label = stored(prints.join(moved, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id")))
+    hot_rows = max(HOT_ROWS, -(-docs.count() // MAX_HOT))
+    hot = F.broadcast(label.where(F.col("n") >= hot_rows).select("fp", F.col("component_id").alias("hot_id")))
+    marked = docs.join(hot, "fp", "left")
+    cold = marked.where("hot_id IS NULL").join(label.where(F.col("n") < hot_rows).select("fp", "component_id"), "fp")
+    out = [*docs.columns, "component_id"]
+    return cold.select(*out).unionByName(marked.where("hot_id IS NOT NULL").withColumnRenamed("hot_id", "component_id").select(*out))
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, max_broadcast: int = MAX_BROADCAST_KEYS) -> DataFrame:
-    """The rows whose key is their component's id, with their columns as they are: one document of each group.
+    """One row of each group, with its columns as they are: of the rows with the smallest key, that with the smallest
+    hash of its text, and of equal rows (key and text) one.
 
-    Keys that go are broadcast up to a checked number, so that texts aren't shuffled; beyond it they are joined. Rows
-    that repeat a key and a text stay once. Rows without a key can't be named as a copy and stay.
+    Rows are named by 128 bits of key and text. Those that go are broadcast up to a checked number, so that texts aren't
+    shuffled; beyond it they are joined. Rows without a key can't be named as a copy and stay.
     """
-    stays = F.col(key) == F.col("component_id")
-    by_key = near_duplicates(df, key, text, radius).groupBy(F.col(key).alias("_key")).agg(F.count_if(stays).alias("_stay"))
-    by_key = stored(by_key)
-    gone, again = by_key.where("_stay = 0").select("_key"), by_key.where("_stay > 1").select("_key")
-    bounded = lambda keys: F.broadcast(keys) if keys.count() <= max_broadcast else keys
-    kept = df.join(bounded(gone), df[key] == gone["_key"], "left_anti")
+    name = F.struct(F.xxhash64(F.col(key), F.col(text).isNull(), F.col(text)).alias("h1"), F.xxhash64(F.lit(1), F.col(key), F.col(text).isNull(), F.col(text)).alias("h2"))
+    named = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), name.alias("_row"))
+    docs = stored(with_fingerprint(named, "_key", "_text", "_row"))
+    rows = _labelled(docs, "_key", radius).groupBy("component_id", "_key", "_row").agg(F.count("*").alias("_n"))
+    rows = stored(rows)
+    stay = rows.groupBy("component_id").agg(F.min(F.struct("_key", "_row")).alias("_first"))
+    judged = stored(rows.join(stay, "component_id").select("_row", "_n", (F.col("_first") == F.struct("_key", "_row")).alias("_stay")))
+    # A row's name may hold twice: two equal rows are one group, so never with both answers.
+    gone, again = judged.where("NOT _stay").select("_row"), judged.where("_stay AND _n > 1").select("_row")
+    kept = df.join(bounded(gone, max_broadcast), F.when(F.col(key).isNotNull(), name) == gone["_row"], "left_anti")
     if again.isEmpty():
         return kept
-    again = bounded(again)
-    once = kept.join(again, kept[key] == again["_key"], "left_semi").dropDuplicates([key, text])
-    return kept.join(again, kept[key] == again["_key"], "left_anti").unionByName(once)
+    again = bounded(again, max_broadcast)
+    same = F.when(F.col(key).isNotNull(), name) == again["_row"]
+    once = kept.join(again, same, "left_semi").dropDuplicates([key, text])
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    nameless = with_fingerprint(docs.where("doc_id IS NULL")).withColumn("component_id", F.lit(None).cast("long"))
+    out = near_duplicates(docs).unionByName(nameless)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -88,3 +89,45 @@ def test_one_of_each_group_stays(spark, max_broadcast):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = sorted(map(tuple, S.drop_near_duplicates(df, max_broadcast=max_broadcast).collect()), key=str)
     assert [r[0] for r in got] == [3, 7, 9, None] and S.drop_near_duplicates(df, max_broadcast=max_broadcast).columns == df.columns
+
+
+@pytest.mark.parametrize("segments", [1, 2, 3, 5])
+def test_tiles_within_the_radius_meet(segments):
+    rng = np.random.default_rng(segments)
+    a = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    deal = S._deal(4, segments)
+    tiles = lambda x: {k: {*zip(g["t1"], g["t2"], strict=True)} for k, g in pd.concat(deal([pd.DataFrame({"fp": x.view(np.int64), "rep": np.arange(len(x))})])).groupby("rep")}
+    left, right = tiles(a), tiles(b)
+    assert all(left[k] & right[k] for k in left)
+    assert all(len(v) <= len(S._steps(segments, 4)) for v in left.values())
+
+
+def test_tiles_grow_with_the_set():
+    assert [S.segments_of(n, 1 << 19) for n in (0, 10**6, 10**8, 10**9)] == [1, 1, 3, 5]
+    assert [len(S._steps(k, 4)) for k in (1, 2, 3, 4)] == [9, 41, 129, 321]
+
+
+def test_unlike_texts_of_one_id_stay_apart(spark):
+    t, u = "one text of some words here", "something else entirely with other words"
+    df = spark.createDataFrame([(1, t), (3, t), (3, u), (5, u)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect())
+    assert got == [(1, 1), (3, 1), (3, 3), (5, 3)]
+    assert sorted(map(tuple, S.drop_near_duplicates(df).collect())) == [(1, t), (3, u)]
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_fingerprints(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT_ROWS", hot)
+    df = spark.createDataFrame([(i, "a b c" if i % 3 else f"other {i}") for i in range(30)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()}
+    assert got == {i: 1 if i % 3 else i for i in range(30)}
+
+
+def test_query_keeps_rows_without_an_id(spark, tmp_path):
+    spark.createDataFrame([(1, "x"), (None, "x"), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, S.op9_simhash_dedup(spark, str(tmp_path)).collect()), key=str)
+    one = f"{slow_fingerprint('x'):016x}"
+    assert got == sorted([(1, one, 1), (None, one, None), (None, "0" * 16, None)], key=str)
