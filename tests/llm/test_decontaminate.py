@@ -70,3 +70,29 @@ def test_repeated_and_null_item_ids(spark):
     got = sorted((r.doc_id, r.item_id, r.similarity, r.start_word) for r in D.contaminated(docs, items).collect())
     assert got == [(10, 1, 1.0, 1), (10, 2, 1.0, 1), (11, 1, 1.0, 2), (12, 1, 1.0, 0), (15, 1, 1.0, 0), (15, 2, 1.0, 0)]
     assert [r.doc_id for r in D.drop_contaminated(docs, items).collect()] == [14]
+
+
+def test_blocks_find_every_fingerprint_within_the_radius(spark):
+    rng = random.Random(4)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [(f"i{k}", 7 + k % 2, rng.getrandbits(64)) for k in range(12)]
+    windows = []
+    for k in range(400):
+        item = rng.choice(items)
+        flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 26)))
+        windows.append((k, k, item[1], item[1], item[2] ^ flips))
+    left = spark.createDataFrame([(*w[:4], signed(w[4])) for w in windows], "w1 long, w2 long, m int, span int, fp long")
+    right = spark.createDataFrame([(i, m, signed(f)) for i, m, f in items], "item string, m int, item_fp long")
+    for radius in (3, 20):
+        got = [(r.w1, r.item) for r in D._within(left, right, radius).collect()]
+        want = {(w[0], i) for w in windows for i, m, f in items if m == w[2] and (w[4] ^ f).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_clashing_column_names(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item, 2, 3, 4), (2, "clean words", 2, 3, 4)], "doc_id long, text string, f1 int, found int, t1 int")
+    items = spark.createDataFrame([(5, item, 1)], "item_id long, text string, h int")
+    kept = D.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert [(r.t1, r.item_id) for r in D.contaminated(docs.drop("doc_id"), items, "t1").collect()] == [(4, 5)]
