@@ -1,7 +1,8 @@
 """HTML as arrays of nodes: a tolerant, linear-time parser, and features of each node.
 
-Nodes are block elements, inline elements that have a class, id or role, and runs of text beside other nodes. Text lies
-in leaves only. A node's parent comes before it. Elements whose content is never text of a page are left out whole.
+Nodes are block elements, inline elements that have a class, id or role or hold what is shown in place of something else,
+and runs of text beside other nodes. Text lies in leaves only. A node's parent comes before it. Only scripts, styles,
+templates and form controls are left out whole; formulas, drawings and listings are text like any other.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from html import unescape
 
 import numpy as np
 
-#: HTML's block elements, elements without an end, and elements without text of the page.
+#: HTML's block elements, elements without an end, and elements without text of the page (of raw text, and with marks).
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup p pre search section summary table caption tbody thead tfoot tr td th ul".split()
 )
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("noscript template svg math canvas object select datalist button audio video map".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+DROPPED = frozenset("template select datalist button".split())
+#: Inline elements that are nodes of their own even without attributes, as what stands in them may be a notice.
+APART = frozenset("noscript object canvas audio video map".split())
 #: A start of the key ends the open elements of the value, up to a list or table around them.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 BORDERS = frozenset("ul ol menu dl table".split())
@@ -54,7 +57,7 @@ def tokens_of(attributes: str) -> tuple[str, ...]:
     """Lower-case words of an element's class, id, role, label and itemprop, without a plural s."""
     out = []
     for _, value in _ATTRIBUTE.findall(attributes):
-        for word in _TOKEN.findall(value[:500]):
+        for word in _TOKEN.findall(value):
             word = word.lower()
             out.append(word[:-1] if len(word) > 3 and word.endswith("s") else word)
     return tuple(dict.fromkeys(out))
@@ -150,6 +153,15 @@ def parse(html: str) -> Page:
                 close = re.compile(f"</{name}(?=[\\s/>])", re.IGNORECASE).search(html, at)
                 at = end if not close else (html.find(">", close.end()) + 1 or end)
             continue
+        if name == "xmp":  # text as it stands, without marks and references
+            close = re.compile(r"</xmp(?=[\s/>])", re.IGNORECASE).search(html, at)
+            stop = close.start() if close else end
+            if not pieces:
+                run_border = border
+            border += 1
+            pieces.append(f" {html[at:stop]} ")
+            at = end if not close else (html.find(">", close.end()) + 1 or end)
+            continue
         if name in VOID:
             if name in ("br", "hr"):
                 border += 1
@@ -168,7 +180,7 @@ def parse(html: str) -> Page:
                     if names[inside] == ended:
                         pop_to(ended)
             in_link = False
-        elif not tokens or attributes.endswith("/"):
+        elif not tokens and name not in APART or attributes.endswith("/"):
             if name == "a":
                 in_link = True
             continue

@@ -87,3 +87,20 @@ def test_edge_cases(spark):
     assert got[1] == [("", 0)] * 2 and got[2] == got[5] == [("", 0)] and got[None] == [(LINE, len(LINE))]
     assert got[3] == [("word " * 199_999 + "word", 999_999)] and len(got) == 7
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_shown_text_of_rare_elements_stays():
+    ex = H.extractor()
+    pages = {
+        f"<article><p>Energy is <math>E = mc</math> and mass.</p><p>{LINE}</p></article>": f"Energy is E = mc and mass. {LINE}",
+        f"<article><p>A <svg><title>t</title><text>label</text></svg> drawn.</p><p>{LINE}</p></article>": f"A label drawn. {LINE}",
+        f"<article><p>{LINE}</p><p>Type <xmp><b>&amp;</b></xmp> here.</p></article>": f"{LINE} Type <b>&amp;</b> here.",
+        f"<article><p>{LINE}</p><p>{LINE} <noscript>{LINE}</noscript></p></article>": f"{LINE} {LINE} {LINE}",
+        f"<article><p>{LINE}</p><template><p>{LINE}</p></template><button>{LINE}</button></article>": LINE,
+    }
+    for page, text in pages.items():
+        assert ex.texts([page]) == [text], page
+
+
+def test_attributes_are_read_whole():
+    assert dom.tokens_of(f' class="{"x " * 2000}sidebars"')[-1] == "sidebar"
