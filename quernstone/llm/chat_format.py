@@ -8,11 +8,16 @@ the assistant texts of a window's own turns: repeated targets are masked. A turn
 in a window that is then over it.
 
 Prefix sums are taken in blocks of BLOCK turn numbers and then over the blocks, so that a conversation that holds a
-third of all rows is many tasks; windows are grouped by (conversation, window).
+third of all rows is many tasks; windows are grouped by (conversation, window). Texts are shuffled twice, to be numbered
+and to meet their window: blocks are summed up, and turns that repeat are picked, by numbers. Turns of one number, and
+those without one, share a block.
+
+The system turn is part of every window whatever its length: one of S tokens leaves a window at least LEAST tokens for
+other turns, so from S = WINDOW - HISTORY - LEAST on windows are over the budget and the output grows by S a window.
 
 Template: "<|role|>\\n" text "</s>\\n". A backslash in a role or text is doubled and control strings get one after their
-first character, which reading back undoes. Null texts and roles count as empty, null ids are a conversation, null
-turns come first; turns with equal numbers are ordered by role and text. An empty table gives no windows.
+first character, which reading back undoes. Null texts and roles count as empty, null ids are a conversation
+(which an empty id is not part of), null turns come first; turns with equal numbers are ordered by role and text. An empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -20,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import read, stored
+from quernstone.llm.common import bounded, read, stored
 
 WINDOW, HISTORY, HISTORY_TURNS, LEAST = 1024, 256, 2, 64
 BLOCK = 256
+#: Repeated turns, at some 60 bytes each, up to which their numbers are broadcast; beyond that they are joined.
+MAX_BROADCAST_TURNS = 500_000
 CONTROLS = ["<|", "|>", "</s>", "<s>", "[INST]", "[/INST]"]
 END = "</s>\n"
 
@@ -47,12 +54,15 @@ def turn_tokens(text: Column) -> Column:
 def _numbered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """Turns with their place, the tokens before them, and the system turn's tokens (0 without one)."""
     rows = df.select(
-        F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("c"), F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.when(F.col(conv).isNull(), "").otherwise(F.concat(F.lit("="), F.col(conv).cast("string"))).alias("c"), F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     rows = rows.withColumn("tokens", turn_tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(2**62))))
+    # The first turn of a block, in the order of the window below; only one text a block goes through this.
+    first = F.min(F.struct(F.struct(F.col("turn").isNotNull(), "turn", "role", "text"), "role", "tokens"))
+    per_block = rows.groupBy("c", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), first.alias("f"))
+    per_block = per_block.select("c", "block", "n", "sum", F.when(F.col("f.role") == "system", F.col("f.tokens")).alias("head"))
     order = Window.partitionBy("c", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("p", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per_block = rows.groupBy("c", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.max(F.when((F.col("i") == 0) & (F.col("role") == "system"), F.col("tokens"))).alias("head"))
     blocks = Window.partitionBy("c").orderBy("block")
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     bases = per_block.select("c", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("i0"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("p0"), F.coalesce(F.first("head").over(blocks), F.lit(0)).alias("system"))
@@ -75,7 +85,9 @@ def format_windows(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     windows = turns.groupBy("c", "window").agg(F.min("idx").alias("first"), F.min("before").alias("begin"), F.max("system").alias("system")).where("first > 0")
     repeats = F.array(*([F.col("first") - d for d in range(1, history_turns + 1)]))
     asked = F.filter(F.when(F.col("system") > 0, F.concat(F.array(F.lit(0).cast("long")), F.filter(repeats, lambda x: x > 0))).otherwise(repeats), lambda x: x >= 0)
-    context = windows.select("c", "window", "begin", F.explode(asked).alias("idx")).join(turns.drop("window", "system"), ["c", "idx"])
+    # Most conversations are one window and repeat nothing: what is asked for is picked by numbers before texts move.
+    wanted = bounded(stored(windows.select("c", "window", "begin", F.explode(asked).alias("idx"))), MAX_BROADCAST_TURNS)
+    context = turns.drop("window", "system").join(wanted, ["c", "idx"])
     context = context.where(F.col("is_system") | (F.col("begin") - F.col("before") <= history))
     columns = ["c", "conv_id", "window", "idx", "role", "text", "tokens"]
     both = turns.select(*columns, F.lit(True).alias("own")).unionByName(context.select(*columns, F.lit(False).alias("own")))

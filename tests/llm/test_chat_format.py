@@ -56,3 +56,17 @@ def test_windows_keep_the_budget(spark):
 
 def test_empty(spark):
     assert C.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_null_and_empty_ids_are_two_conversations(spark):
+    rows = [(None, 0, "user", "a"), ("", 0, "user", "b"), ("x", 1, "user", "c")]
+    windows = C.format_windows(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))
+    assert {r.conv_id: r.n_turns for r in C.digests(windows).collect()} == {None: 1, "": 1, "x": 1}
+
+
+def test_joined_and_broadcast_context_agree(spark, monkeypatch):
+    rows = [(k % 3, i, ["system", "user", "assistant"][min(i, 1 + i % 2)], f"{i} " * (i * 53 % 300)) for k in range(3) for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one = sorted(map(str, C.format_windows(df).collect()))
+    monkeypatch.setattr(C, "MAX_BROADCAST_TURNS", 0)
+    assert sorted(map(str, C.format_windows(df).collect())) == one
