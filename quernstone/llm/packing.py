@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm import bpe
-from quernstone.llm.common import read, stored, text_slices
+from quernstone.llm.common import read, stored, text_slices, tidied
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS = 2048
@@ -46,7 +46,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
     def run(blocks):
         encoder, end = bpe.encoder(path), np.array([end_id], "<u4").tobytes()
-        for block in blocks:
+        for block in tidied(blocks):
             row, start, length, crc, tokens = [], [], [], [], []
             at = 0
             for texts in text_slices(block.column(1), BATCH_BYTES):
