@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import rules
 from quernstone.functions.text import entity_name
-from quernstone.storage import stored
+from quernstone.storage import discard, stored
 
-#: Width of the ranges of first-seen numbers in which ids are counted.
-ID_RANGE = 1_000_000
-#: Nodes move together down to one in so many of those that gain; then only moves that don't meet are made.
-LEAST_SHARE = 64
+#: Links of a task in which nodes move, at some 200 bytes each.
+EDGES_PER_TASK = 1_500_000
 
 
 def mentions(chunks: DataFrame, chunk: str = "id", seq: str = "seq", graph: str = "graph", per_chunk: int = rules.ENTITIES_PER_CHUNK, stop: Iterable[str] = tuple(rules.STOP_ENTITIES)) -> DataFrame:
@@ -35,15 +36,24 @@ def relations(chunks: DataFrame, chunk: str = "id", seq: str = "seq", graph: str
     return rows.where((F.col("source") != "") & (F.col("target") != "") & F.col("relation").isin(*allowed))
 
 
+def _ranged(df: DataFrame, order: str) -> DataFrame:
+    """df as a written table with _part: ranges of the order with about as many rows each, whatever the key is like."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()))
+
+
+def _ahead(rows: DataFrame, value: Column) -> DataFrame:
+    """(_part, _base): the value's sum over all ranges before; one row a range."""
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+
+
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with n, its place from 1 in a numeric order without ties, counted in ranges so that no task sees all rows."""
-    part = F.floor(F.col(order) / ID_RANGE)
-    counts = df.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over the few ranges
-    bases = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    """df with n, its place from 1 in an order without ties, counted in ranges so that no task sees all rows."""
+    rows = _ranged(df, order)
     local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    rows = df.withColumn("_part", part).withColumn("_local", local).join(bases, "_part")
-    return rows.withColumn("n", F.col("_local") + F.col("_base")).drop("_part", "_local", "_base")
+    return rows.withColumn("_local", local).join(F.broadcast(_ahead(rows, F.lit(1))), "_part").withColumn("n", F.col("_local") + F.col("_base")).drop("_part", "_local", "_base")
 
 
 def entity_rollup(found: DataFrame) -> DataFrame:
@@ -98,10 +108,9 @@ def running_totals(found: DataFrame) -> DataFrame:
     """(chunk, first, n, total): entities of each chunk and how many distinct ones there are up to it."""
     new = found.groupBy("norm").agg(F.min("seq").alias("seq")).join(found.select("norm", "seq", "chunk"), ["norm", "seq"]).groupBy("chunk").agg(F.count("*").alias("fresh"))
     rows = found.groupBy("chunk").agg(F.min("seq").alias("first"), F.count("*").alias("n")).join(new, "chunk", "left")
-    part = rows.withColumn("_part", F.floor(F.col("first") / ID_RANGE))
-    per = part.groupBy("_part").agg(F.sum(F.coalesce("fresh", F.lit(0))).alias("_f"))
-    bases = per.select("_part", F.coalesce(F.sum("_f").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    part = _ranged(rows, "first")
     local = F.sum(F.coalesce("fresh", F.lit(0))).over(Window.partitionBy("_part").orderBy("first"))
+    bases = F.broadcast(_ahead(part, F.coalesce("fresh", F.lit(0))))
     return part.withColumn("_l", local).join(bases, "_part").select("chunk", "first", "n", (F.col("_l") + F.col("_base")).alias("total"))
 
 
@@ -145,70 +154,120 @@ def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     return per.crossJoin(whole).agg(F.sum(F.col("inner") / F.col("m2") - (F.col("total") / F.col("m2")) ** 2).alias("modularity"))
 
 
-def _judged(edges: DataFrame, members: DataFrame, twice: int) -> DataFrame:
-    """(a, k, own, w, down, up): each node's weight, its community, the weight it has there, and the community of most
-    gain among those of smaller and of larger names; null where none gains over staying."""
-    own = members.select(F.col("node").alias("a"), "k", F.col("community").alias("own"))
-    totals = members.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("total"))
-    other = members.select(F.col("node").alias("b"), F.col("community").alias("to"))
-    near = edges.where("a <> b").join(other, "b").select("a", "to", F.col("weight").alias("w"))
-    stay = own.select("a", F.col("own").alias("to"), F.lit(0).cast(near.schema["w"].dataType).alias("w"))
-    choice = near.unionByName(stay).groupBy("a", "to").agg(F.sum("w").alias("w")).join(own, "a").join(totals, "to")
-    mine = F.col("to") == F.col("own")
-    # Gains times the graph's weight: whole for whole weights, so that no rounding makes a move.
-    choice = choice.withColumn("gain", F.col("w") * F.lit(twice) - F.col("k") * (F.col("total") - F.when(mine, F.col("k")).otherwise(F.lit(0))))
-    most = lambda way: F.max(F.when(way, F.struct("gain", "to")))
-    rows = choice.groupBy("a", "k", "own").agg(F.max(F.when(mine, F.col("w"))).alias("w"), F.max(F.when(mine, F.col("gain"))).alias("stay"), most(F.col("to") < F.col("own")).alias("down"), most(F.col("to") > F.col("own")).alias("up"))
-    better = lambda way: F.when(F.col(f"{way}.gain") > F.col("stay"), F.struct((F.col(f"{way}.gain") - F.col("stay")).alias("gain"), F.col(f"{way}.to").alias("to"))).alias(way)
-    return rows.select("a", "k", "own", "w", better("down"), better("up"))
-
-
-def _apart(judged: DataFrame) -> DataFrame:
-    """(a, to): moves no two of which leave or enter the same community, so that their gains add up; the best of all is
-    among them."""
-    best = F.when(F.col("down").isNull() | (F.col("up.gain") > F.col("down.gain")), F.col("up")).otherwise(F.col("down"))
-    moves = judged.select("a", "own", best.alias("m")).where("m IS NOT NULL").select("a", "own", "m.to", F.struct("m.gain", "a").alias("key"))
-    first = moves.select(F.explode(F.array("own", "to")).alias("c"), "key").groupBy("c").agg(F.max("key").alias("top"))
-    ends = moves.select("a", "to", "key", F.explode(F.array("own", "to")).alias("c")).join(first, "c").where("key = top")
-    return ends.groupBy("a", "to").agg(F.count("*").alias("n")).where("n = 2").select("a", "to")
-
-
-def _local_moves(edges: DataFrame) -> DataFrame:
+def _settle(table: pa.Table, twice: float) -> pa.Table:
+    """Moves of some nodes, one after the other by name and again until none gains; all other nodes stay as they are.
+
+    table: (a, b, to, w, total, k): the links of a with the community of b and that community's weight; a row of a with
+    itself has its own community and weight k.
+    """
+    size = table.num_rows
+    names = pa.chunked_array([c for name in ("a", "b", "to") for c in table[name].chunks]).combine_chunks().dictionary_encode()
+    rank = np.empty(len(names.dictionary), np.int64)
+    rank[np.array(pc.array_sort_indices(names.dictionary))] = np.arange(len(rank))
+    code = rank[names.indices.to_numpy()]  # places in the order of names
+    node, other, to = code[:size], code[size : 2 * size], code[2 * size :]
+    own = node == other
+    community, total, k = np.zeros(len(rank), np.int64), [0] * len(rank), [0] * len(rank)
+    community[other] = to
+    weight, sums, mine = table["w"].to_pylist(), table["total"].to_pylist(), table["k"].to_pylist()
+    for i in np.unique(to, return_index=True)[1].tolist():
+        total[to[i]] = sums[i]
+    for i in np.flatnonzero(own).tolist():
+        k[node[i]] = mine[i]
+    order = np.lexsort((other, node))
+    order = order[~own[order]]
+    locals_ = np.unique(node[own])
+    begin = np.searchsorted(node[order], locals_).tolist()
+    end = np.searchsorted(node[order], locals_, side="right").tolist()
+    neighbour, weight = other[order].tolist(), [weight[i] for i in order.tolist()]
+    del order, code
+    community = community.tolist()
+    nodes = list(zip(locals_.tolist(), begin, end, strict=True))
+    slack = 0 if isinstance(twice, int) else 1e-12 * twice * twice  # gains of whole weights are whole
+    active = True
+    while active:
+        active = False
+        for n, lo, hi in nodes:
+            near: dict[int, float] = {}
+            for j in range(lo, hi):
+                c = community[neighbour[j]]
+                near[c] = near.get(c, 0) + weight[j]
+            here, kn = community[n], k[n]
+            best, gain = here, near.get(here, 0) * twice - kn * (total[here] - kn) + slack
+            for c, w in near.items():
+                if c != here:
+                    g = w * twice - kn * total[c]
+                    if g > gain or g == gain and best != here and c < best:
+                        best, gain = c, g
+            if best != here:
+                total[here] -= kn
+                total[best] += kn
+                community[n] = best
+                active = True
+    name_at = np.empty(len(rank), np.int64)
+    name_at[rank] = np.arange(len(rank))
+    where = pa.array(name_at[locals_]), pa.array(name_at[np.array(community, np.int64)[locals_]])
+    return pa.table({"node": names.dictionary.take(where[0]), "community": names.dictionary.take(where[1])})
+
+
+def _square(edges: DataFrame, members: DataFrame, twice: float) -> tuple:
+    """(a number that rises with modularity, weights whole for whole weights; communities)."""
+    left = members.select(F.col("node").alias("a"), F.col("community").alias("ca"))
+    right = members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    inner = edges.join(left, "a").join(right, "b").where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    totals = members.groupBy("community").agg(F.sum("k").alias("t"))
+    whole = dict(totals.dtypes)["t"] == "bigint"
+    t = F.col("t").cast("decimal(19,0)") if whole else F.col("t")
+    return inner * twice - (totals.agg(F.sum(t * t)).first()[0] or 0)
+
+
+def _local_moves(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, community) from which no single node gains by a move to a neighbouring community.
 
-    Nodes move together, in turns towards smaller names only and towards larger ones only, to keep neighbours from
-    swapping. Moves made together can still lose; then they are taken back and a share of them, by a hash, is made
-    instead, in the end only moves that don't meet. So modularity rises by every round that stays, no division comes
-    twice, and the rounds end by themselves. edges: (a, b, weight) in both directions.
+    In a round nodes are dealt to tasks by a hash, and each task moves its own nodes one after the other while all others
+    stay where they are. Moves of several tasks can lose together; then only those of a share of the tasks are made, in
+    the end those of one, which gain for sure. So modularity rises by every round that stays, and the rounds end by
+    themselves, with the first in which no task moves a node. edges: (a, b, weight) in both directions.
     """
-    edges = edges.where("weight > 0")
-    degree = stored(edges.groupBy("a").agg(F.sum("weight").alias("k")))
-    twice = degree.agg(F.sum("k")).first()[0]
-    members = degree.select(F.col("a").alias("node"), "k", F.col("a").alias("community"))
-    kept, best, step, share = None, None, 0, 1
+    edges = stored(edges.where("weight > 0"))
+    degree = edges.groupBy("a").agg(F.sum("weight").alias("k"))
+    members = stored(degree.select(F.col("a").alias("node"), "k", F.col("a").alias("community")))
+    twice = members.agg(F.sum("k")).first()[0]
+    tasks = max(1, -(-edges.count() // edges_per_task))
+    step, best = 0, None
+    schema = f"node {dict(members.dtypes)['node']}, community {dict(members.dtypes)['node']}"
     while twice:
-        judged = stored(_judged(edges, members, twice))
-        big = lambda c: F.col(c).cast("decimal(20,0)") if dict(judged.dtypes)["k"] == "bigint" else F.col(c)  # noqa: B023, E731
-        square = judged.groupBy("own").agg(F.sum("k").alias("total"), F.sum("w").alias("w")).agg(F.sum(big("w") * F.lit(twice) - big("total") * big("total"))).first()[0]
-        if best is not None and square <= best:
-            if share > LEAST_SHARE:  # moves apart gain; only rounding of broken weights leads here
-                break
-            share *= 4
-        else:
-            kept, best, share = judged, square, max(1, share // 2)
         step += 1
-        way, back = ("down", "up") if step % 2 else ("up", "down")
-        counts = kept.agg(F.count(way).alias("there"), F.count(back).alias("back")).first()
-        if not counts["there"] and not counts["back"]:
+        totals = members.groupBy(F.col("community").alias("to")).agg(F.sum("k").alias("total"))
+        near = edges.where("a <> b").join(members.select(F.col("node").alias("b"), F.col("community").alias("to")), "b").select("a", "b", "to", F.col("weight").alias("w"), F.lit(None).cast(members.schema["k"].dataType).alias("k"))
+        own = members.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("community").alias("to"), F.lit(0).cast(near.schema["w"].dataType).alias("w"), "k")
+        dealt = F.pmod(F.xxhash64(F.lit(step), "a"), F.lit(tasks))
+        rows = near.unionByName(own).join(totals, "to").select("a", "b", "to", "w", "total", "k", dealt.alias("task"))
+
+        def run(table: pa.Table) -> pa.Table:
+            return _settle(table.drop_columns(["task"]), twice)
+
+        moved = stored(rows.groupBy("task").applyInArrow(run, schema).join(members.select("node", "k", F.col("community").alias("was")), "node"))
+        if moved.where("community <> was").isEmpty():
             break
-        if share > LEAST_SHARE:
-            moves = _apart(kept)
-        else:
-            moves = kept.select("a", F.col(f"{way if counts['there'] else back}.to").alias("to")).where("to IS NOT NULL")
-            moves = moves.where(F.pmod(F.xxhash64(F.lit(step), "a"), F.lit(share)) == 0)
-        members = kept.select("a", "k", "own").join(moves, "a", "left").select(F.col("a").alias("node"), "k", F.coalesce("to", "own").alias("community"))
-        members = stored(members)
-    return members.select("node", "community") if kept is None else kept.select(F.col("a").alias("node"), F.col("own").alias("community"))
+        if tasks == 1:  # its one task has settled all nodes
+            members = moved
+            break
+        share = 1
+        best = _square(edges, members, twice) if best is None else best
+        while True:
+            chosen = F.pmod(F.pmod(F.xxhash64(F.lit(step), "node"), F.lit(tasks)), F.lit(share)) == 0
+            new = stored(moved.select("node", "k", F.when(chosen, F.col("community")).otherwise(F.col("was")).alias("community")))
+            square = _square(edges, new, twice)
+            if square > best or share >= tasks:
+                break
+            discard(new)
+            share *= 2
+        if square < best:  # one task's moves gain; only rounding of broken weights leads here
+            break
+        discard(members, moved)
+        members, best = new, square
+    return members.select("node", "community")
 
 
 def communities(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from quernstone.operators import graph as G
@@ -97,3 +99,23 @@ def test_communities_query_has_every_part(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     nodes = {f"p{r[0]}" for r in lines.select("l_partkey").distinct().collect()} | {f"s{r[0]}" for r in lines.select("l_suppkey").distinct().collect()}
     assert {r.node for r in communities_modularity(spark, f"{sf}").collect()} == nodes
+
+
+@pytest.mark.parametrize("per_task", [40, 10_000])
+def test_no_node_gains_whatever_the_tasks(spark, per_task):
+    rng = np.random.default_rng(1)
+    pairs = {tuple(sorted(rng.choice(30, 2, replace=False).tolist())) for _ in range(120)}
+    edges = [(f"n{a}", f"n{b}", int(rng.integers(1, 5))) for a, b in pairs]
+    both = edges + [(b, a, w) for a, b, w in edges]
+    found = {r.node: r.community for r in G._local_moves(spark.createDataFrame(both, "a string, b string, weight long"), per_task).collect()}
+    k, twice = Counter(), sum(w for *_, w in both)
+    for a, _, w in both:
+        k[a] += w
+    for n in k:
+        near, total = Counter(), Counter()
+        for a, b, w in both:
+            near[found[b]] += w * (a == n)
+        for m in k:
+            total[found[m]] += k[m] * (m != n)
+        gain = lambda c: near[c] * twice - k[n] * total[c]  # noqa: B023, E731
+        assert all(gain(c) <= gain(found[n]) for c in near if near[c])
