@@ -18,6 +18,8 @@ from quernstone.functions import rules
 from quernstone.functions.text import entity_name
 from quernstone.storage import discard, stored
 
+#: Rows of a range in which places are counted.
+ID_RANGE = 1_000_000
 #: Links of a task in which nodes move, at some 200 bytes each.
 EDGES_PER_TASK = 1_500_000
 
@@ -37,9 +39,10 @@ def relations(chunks: DataFrame, chunk: str = "id", seq: str = "seq", graph: str
 
 
 def _ranged(df: DataFrame, order: str) -> DataFrame:
-    """df as a written table with _part: ranges of the order with about as many rows each, whatever the key is like."""
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()))
+    """df as a written table with _part: ranges of the order with about ID_RANGE rows each, whatever the key is like."""
+    rows = stored(df)
+    ranges = max(1, -(-rows.count() // ID_RANGE))
+    return stored(rows.repartitionByRange(ranges, order).withColumn("_part", F.spark_partition_id()))
 
 
 def _ahead(rows: DataFrame, value: Column) -> DataFrame:
@@ -88,6 +91,11 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
+def edge_types(edges: DataFrame) -> DataFrame:
+    """(source_type, relation, target_type, n): edges by the kinds of their ends and their relation."""
+    return edges.groupBy(node_type(F.col("source")).alias("source_type"), "relation", node_type(F.col("target")).alias("target_type")).agg(F.count("*").alias("n"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree): ends at each node; a self-loop counts twice."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("node"))

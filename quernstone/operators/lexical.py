@@ -46,6 +46,26 @@ def counted(tokens: DataFrame) -> DataFrame:
     return stored(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("n")))
 
 
+def index_of(tokens: DataFrame) -> DataFrame:
+    """(term, id, tf, dl): postings with one of the empty term for each document, in the order of terms, so that a reader
+    skips what no question asks for. All weights and scores come from this table."""
+    with_corpus = F.concat(F.array(F.lit("")), "tokens")
+    rows = terms_of(tokens, "id", F.size("tokens").cast("long").alias("dl"), terms=with_corpus)
+    rows = rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+    return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def counted_index(index: DataFrame) -> DataFrame:
+    """As counted, from an index."""
+    return stored(index.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("n")))
+
+
+def indexed_top(index: DataFrame, queries: DataFrame, k: int = 30, counts: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank) as of bm25_top, from a stored index: no text is read or tokenised again."""
+    counts = counted_index(index) if counts is None else counts
+    return ranked(_scores(index, queries, counts).where("score > 0"), k)
+
+
 def vocabulary(counts: DataFrame) -> DataFrame:
     """(term, df) of all terms; counts as of counted."""
     return counts.where("term <> ''").select("term", "df")
@@ -78,16 +98,20 @@ def bm25(tokens: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, co
     A term that a query repeats counts as often. counts: those of the corpus, if they are there already.
     """
     counts = counted(tokens) if counts is None else counts
+    wanted = stored(terms_of(queries, "query_id").select("term").distinct())
+    # Dealt by document once: counting terms and summing scores both happen where a document's tokens are.
+    rows = terms_of(tokens, "id", F.size("tokens").alias("dl")).join(wanted, "term", "left_semi").repartition("id")
+    return _scores(rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), queries, counts, k1, b)
+
+
+def _scores(found: DataFrame, queries: DataFrame, counts: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score) from postings (term, id, tf, dl)."""
     # A written table has a known size: where the questions' terms are few, the corpus's tokens aren't shuffled to meet them.
     asked = stored(terms_of(queries, "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qf")))
-    wanted = asked.select("term").distinct()
     stats = corpus_stats(counts)
-    weights = stored(inverse_frequencies(vocabulary(counts).join(wanted, "term", "left_semi"), stats).crossJoin(F.broadcast(stats.select("avgdl"))))
-    # Dealt by document once: counting terms and summing scores both happen where a document's tokens are.
-    rows = terms_of(tokens, "id", F.size("tokens").alias("dl")).join(wanted, "term", "left_semi").repartition("id")
-    matched = rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).join(weights, "term")
+    weights = stored(inverse_frequencies(vocabulary(counts).join(asked.select("term").distinct(), "term", "left_semi"), stats).crossJoin(F.broadcast(stats.select("avgdl"))))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = matched.select("id", "term", part.alias("part"))
+    weighed = found.join(weights, "term").select("id", "term", part.alias("part"))
     return weighed.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qf") * F.col("part")), 6).alias("score"))
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.functions import rules
 from quernstone.functions.regex import any_contained, any_matched, bound, folded
 from quernstone.functions.text import guard_form, nfkc, percent_encode
+from quernstone.storage import new_path, stored
 
 
 @dataclass(frozen=True)
@@ -236,3 +243,39 @@ def chat_text(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
 def previous_turn(turns: DataFrame, key: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     return turns.withColumn("quoted", F.lag(text).over(Window.partitionBy(key).orderBy(turn)))
+
+
+def healthy(spark: SparkSession) -> bool:
+    """Whether executors run a task and the shared folder takes and gives back a file."""
+    path = new_path(spark, "probe")
+    try:
+        spark.range(1).write.parquet(path)
+        return spark.read.parquet(path).count() == 1
+    except PySparkException:
+        return False
+
+
+def fanned_out(rows: DataFrame, key: str, work: Callable[[object, pd.DataFrame], dict], fields: str, timeout: float = 20.0) -> DataFrame:
+    """(key, fields): what work gives for each key's rows, all keys at once by Spark's tasks; null for those that take too
+    long, whose thread is left behind."""
+    schema = T._parse_datatype_string(fields)
+    names = schema.fieldNames()
+
+    def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        pool = ThreadPoolExecutor(1)
+        try:
+            values = pool.submit(work, group[0], frame).result(timeout)
+        except FutureTimeout:
+            values = {}
+        finally:
+            pool.shutdown(wait=False)
+        return pd.DataFrame([[group[0], *(values.get(n) for n in names)]], columns=[key, *names])
+
+    return rows.groupBy(key).applyInPandas(run, T.StructType([rows.schema[key], *schema.fields]))
+
+
+def timed(rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, float]:
+    """A request's answer as a written table, and the seconds that it took."""
+    began = time.perf_counter()
+    out = stored(work(rows))
+    return out, time.perf_counter() - began

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
 from html import unescape
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.storage import recovered
+
 #: Interchange records.
 CHUNK = "id STRING, title STRING, text STRING, local_img STRING, url STRING, law STRING, article STRING, chunk_index INT, tokens INT, page STRING"
 GRAPH = "entities ARRAY<STRUCT<name: STRING, description: STRING>>, relationships ARRAY<STRUCT<source: STRING, target: STRING, relation: STRING>>"
@@ -65,11 +69,13 @@ def read_json_documents(spark: SparkSession, path: str, schema: str | None = Non
 
 
 def read_index(spark: SparkSession, path: str, rebuild: Callable[[], DataFrame] | None = None) -> DataFrame:
-    """A persisted index table; where it is absent or broken it is rebuilt and written."""
+    """A persisted index table; where it is absent or no table it is rebuilt and written. Other errors, which may pass, are
+    raised and leave what is there."""
+    recovered(spark, path)
     try:
         return spark.read.parquet(path)
-    except Exception:
-        if rebuild is None:
+    except AnalysisException as e:
+        if rebuild is None or not re.search("PATH_NOT_FOUND|UNABLE_TO_INFER_SCHEMA", str(e)):
             raise
         rebuild().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
@@ -127,8 +133,6 @@ Convert = Callable[[bytes], str]
 
 def strip_html(content: bytes) -> str:
     """The offline stand-in of a layout-aware converter: tags off, references decoded."""
-    import re
-
     return unescape(re.sub(r"<[^>]+>", " ", content.decode("utf-8", "replace")))
 
 

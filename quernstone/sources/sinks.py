@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from xml.sax.saxutils import quoteattr
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.operators.dedupe import keep_first
+from quernstone.storage import exists, recovered, swap_in
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -64,17 +66,17 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def upsert(df: DataFrame, path: str, key: str, newest: Column) -> None:
-    """Rows of df over those of an index table with the same key; the table is written to a new version folder first."""
+    """Rows of df over those of an index table with the same key. The new table is written whole beside the old one and
+    then renamed, so that a crash leaves one of them."""
     spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path)
-        both = old.withColumn("_old", F.lit(1)).unionByName(df.withColumn("_old", F.lit(0)), allowMissingColumns=True)
-        keep_first(both, [key], ["_old", newest]).drop("_old").write.mode("overwrite").parquet(f"{path}-new")
-        spark.read.parquet(f"{path}-new").write.mode("overwrite").parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        keep_first(df, [key], [newest]).write.parquet(path)
+    recovered(spark, path)
+    new = f"{path}-{uuid.uuid4().hex}"
+    if exists(spark, path):
+        both = spark.read.parquet(path).withColumn("_old", F.lit(1)).unionByName(df.withColumn("_old", F.lit(0)), allowMissingColumns=True)
+        keep_first(both, [key], ["_old", newest]).drop("_old").write.parquet(new)
+    else:
+        keep_first(df, [key], [newest]).write.parquet(new)
+    swap_in(spark, new, path)
 
 
 def debug_dump(batch: DataFrame, path: str, enabled: bool) -> None:

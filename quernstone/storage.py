@@ -51,3 +51,26 @@ def discard(*tables: DataFrame) -> None:
         if path := getattr(table, "_stored_at", None):
             hadoop, fs = _path(table.sparkSession, path)
             fs.delete(hadoop, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _path(spark, path)
+    return fs.exists(hadoop)
+
+
+def swap_in(spark: SparkSession, new: str, path: str) -> None:
+    """The finished table at new takes the place of the one at path, by renaming; see recovered."""
+    target, fs = _path(spark, path)
+    old, fresh = _path(spark, f"{path}-old")[0], _path(spark, new)[0]
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old) or not fs.rename(fresh, target):
+        raise OSError(f"{new} can't be renamed to {path}")
+    fs.delete(old, True)
+
+
+def recovered(spark: SparkSession, path: str) -> None:
+    """Ends what a crash in swap_in left: without a table at path the older one comes back."""
+    target, fs = _path(spark, path)
+    old = _path(spark, f"{path}-old")[0]
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
