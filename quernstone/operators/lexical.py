@@ -7,6 +7,7 @@ whole vocabulary is counted once, with partial sums, because the floor of negati
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,23 +48,34 @@ def counted(tokens: DataFrame) -> DataFrame:
 
 
 def index_of(tokens: DataFrame) -> DataFrame:
-    """(term, id, tf, dl): postings with one of the empty term for each document, in the order of terms, so that a reader
-    skips what no question asks for. All weights and scores come from this table."""
+    """(term, id, tf, dl): postings, and one of the empty term for each document, so that all weights and scores come from
+    this table. Terms are dealt with their documents, so that a hot term is in every part of it."""
     with_corpus = F.concat(F.array(F.lit("")), "tokens")
     rows = terms_of(tokens, "id", F.size("tokens").cast("long").alias("dl"), terms=with_corpus)
-    rows = rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
-    return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A corpus as written tables: postings as of index_of, and counts as of counted."""
+
+    postings: DataFrame
+    counts: DataFrame
+
+
+def built(tokens: DataFrame) -> Index:
+    """The index of a corpus, from one tokenisation, for any number of query batches."""
+    return loaded(stored(index_of(tokens)))
 
 
-def counted_index(index: DataFrame) -> DataFrame:
-    """As counted, from an index."""
-    return stored(index.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("n")))
+def loaded(postings: DataFrame) -> Index:
+    """The index of postings that are written already."""
+    return Index(postings, stored(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("n"))))
 
 
-def indexed_top(index: DataFrame, queries: DataFrame, k: int = 30, counts: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank) as of bm25_top, from a stored index: no text is read or tokenised again."""
-    counts = counted_index(index) if counts is None else counts
-    return ranked(_scores(index, queries, counts).where("score > 0"), k)
+def indexed_top(index: Index, queries: DataFrame, k: int = 30) -> DataFrame:
+    """(query_id, id, score, rank) as of bm25_top, from an index: no text is read or tokenised again."""
+    return ranked(_scores(index.postings, queries, index.counts).where("score > 0"), k)
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:

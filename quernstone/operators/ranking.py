@@ -42,7 +42,9 @@ def boost(fused: DataFrame, tokens: DataFrame, queries: DataFrame, entities: Dat
     how: add a tenth of the bonus (canonical), or multiply by one plus the bonus.
     """
     wanted = query_entities(queries, entities).join(entities.select("entity", F.explode("tokens").alias("token")), "entity")
-    held = fused.select("query_id", "id").join(tokens, "id").select("query_id", "id", F.explode(F.array_distinct("tokens")).alias("token"))
+    # Documents' tokens that no question's entity has go before they meet the questions.
+    telling = tokens.select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    held = fused.select("query_id", "id").join(telling, "id")
     count = held.join(wanted, ["query_id", "token"]).groupBy("query_id", "id").agg(F.count_distinct("entity").alias("n"))
     bonus = F.least(F.lit(ENTITY_BONUS) * F.coalesce("n", F.lit(0)), F.lit(MAX_BONUS))
     score = F.col("score") + bonus * ADDED_SHARE if how == "add" else F.col("score") * (1 + bonus)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import models
-from quernstone.operators import ranking, serving
+from quernstone.operators import lexical, ranking, serving
 from quernstone.plans.engines import ENGINES, Engine, retrieve
 from quernstone.session import worker_path
 from quernstone.storage import stored
@@ -25,7 +25,7 @@ def synthesizer(answer: Callable[[str, Sequence[str]], str] = models.extractive_
     return run
 
 
-def answered(questions: DataFrame, docs: DataFrame, vectors: DataFrame, pages: DataFrame, entities: DataFrame | None = None, engine: Engine = ENGINES["canonical"], people: Sequence[tuple[str, Sequence[str]]] = (), answer=models.extractive_answer, counts: DataFrame | None = None) -> DataFrame:
+def answered(questions: DataFrame, docs: DataFrame, vectors: DataFrame, pages: DataFrame, entities: DataFrame | None = None, engine: Engine = ENGINES["canonical"], people: Sequence[tuple[str, Sequence[str]]] = (), answer=models.extractive_answer, index: lexical.Index | None = None) -> DataFrame:
     """(query_id, refused, route, answer, sources, image): one row for each question.
 
     questions: (query_id, text, v); docs: (doc_id, text); vectors: (id, v); pages: (id, url, title, image). Refused
@@ -35,7 +35,7 @@ def answered(questions: DataFrame, docs: DataFrame, vectors: DataFrame, pages: D
     routes = serving.ROUTES[engine.modes]
     judged = questions.withColumn("refused", serving.guard_reason(F.col("text"))).withColumn("_r", serving.route_mode(F.col("text"), routes))
     allowed = questions.join(judged.where("refused IS NULL").select("query_id"), "query_id", "left_semi")
-    final = stored(retrieve(engine, docs, vectors, allowed, entities, counts))
+    final = stored(retrieve(engine, docs, vectors, allowed, entities, index))
     texts = final.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])  # at most final_k a question
     chunks = texts.groupBy("query_id").agg(in_order.alias("chunks"))

@@ -50,18 +50,19 @@ ENGINES = {
 }
 
 
-def candidates(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataFrame, counts: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def candidates(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataFrame, index: lexical.Index | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, id, score) of what vectors and BM25 find, fused, as a written table.
 
-    docs: key and text; vectors: (id, v); queries: (query_id, text, v). Both searches see the rewritten question.
+    docs: key and text; vectors: (id, v); queries: (query_id, text, v); index: of docs, by the engine's tokenizer, which
+    is built where it isn't there yet. Both searches see the rewritten question.
     """
     found = vector.cosine_top(vectors, queries.select("query_id", "v"), engine.vector_k)
     if not engine.fusion:
         return stored(found.drop("rank"))
     words = rewrite_synonyms(F.col("text")) if engine.rewrite else F.col("text")
     searched = queries.select("query_id", engine.tokenizer(words).alias("tokens"))
-    tokens = lexical.tokens_of(docs, key, text, engine.tokenizer)
-    return stored(ranking.fuse(found, lexical.bm25_top(tokens, searched, engine.lexical_k, counts), *engine.fusion))
+    index = index or lexical.built(lexical.tokens_of(docs, key, text, engine.tokenizer))
+    return stored(ranking.fuse(found, lexical.indexed_top(index, searched, engine.lexical_k), *engine.fusion))
 
 
 def pool(found: DataFrame, docs: DataFrame, tokenizer: Callable[[Column], Column], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,11 +71,11 @@ def pool(found: DataFrame, docs: DataFrame, tokenizer: Callable[[Column], Column
     return stored(lexical.tokens_of(docs.join(ids, key, "left_semi"), key, text, tokenizer))
 
 
-def retrieve(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataFrame, entities: DataFrame | None = None, counts: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def retrieve(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataFrame, entities: DataFrame | None = None, index: lexical.Index | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, id, score, rank): the final chunks of each query. Boost and reranker see the question as asked."""
-    found = candidates(engine, docs, vectors, queries, counts, key, text)
+    found = candidates(engine, docs, vectors, queries, index, key, text)
     tokens = pool(found, docs, engine.tokenizer, key, text)
     asked = queries.select("query_id", engine.tokenizer(F.col("text")).alias("tokens"))
     if engine.boost and entities is not None:
-        found = ranking.boost(found, tokens, asked, entities, engine.boost)
+        found = stored(ranking.boost(found, tokens, asked, stored(entities), engine.boost))
     return ranking.rerank(found, asked, tokens, engine.rerank_k, engine.final_k)

@@ -154,7 +154,7 @@ def bm25_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark question, from an inverted index that is built once, written and loaded."""
     path = new_path(spark, "bm25")
     index = R.read_index(spark, path, lambda: lexical.index_of(_docs(spark, sf_dir)))
-    return _shown(lexical.indexed_top(index, _asked(spark, sf_dir), 10))
+    return _shown(lexical.indexed_top(lexical.loaded(index), _asked(spark, sf_dir), 10))
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq, type, content FROM (SELECT doc_id, 0 AS pos, 'metadata' AS type, CASE WHEN n > 0 THEN 'true' ELSE 'false' END AS content FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents WHERE text IS NOT NULL) UNION ALL SELECT doc_id, generate_subscripts(w, 1), 'text', unnest(w) FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL) UNION ALL SELECT doc_id, 1000000000, 'end', '' FROM documents WHERE text IS NOT NULL)")

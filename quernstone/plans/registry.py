@@ -22,14 +22,3 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         return f
 
     return add
-
-
-from quernstone.plans import (  # noqa: E402
-    corpus_queries,  # noqa: F401
-    graph_queries,  # noqa: F401
-    io_queries,  # noqa: F401
-    retrieval_queries,  # noqa: F401
-    serving_queries,  # noqa: F401
-    stream_queries,  # noqa: F401
-    text_queries,  # noqa: F401
-)

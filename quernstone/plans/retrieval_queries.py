@@ -16,6 +16,7 @@ from quernstone.plans import answering
 from quernstone.plans.engines import ENGINES, candidates, pool, retrieve
 from quernstone.plans.registry import query
 from quernstone.session import table
+from quernstone.storage import stored
 
 ENTITIES = 50
 
@@ -162,9 +163,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(vector.cosine_top(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), 30))
 
 
-def _fused(spark: SparkSession, sf_dir: str, k: int, a: float, b: float, counts: DataFrame | None = None) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, k: int, a: float, b: float, index: lexical.Index | None = None) -> DataFrame:
     engine = replace(ENGINES["canonical"], fusion=(k, a, b), rewrite=False)
-    return candidates(engine, table(spark, sf_dir, "documents").select("doc_id", "text"), _vectors(spark, sf_dir), _questions(spark, sf_dir), counts)
+    return candidates(engine, table(spark, sf_dir, "documents").select("doc_id", "text"), _vectors(spark, sf_dir), _questions(spark, sf_dir), index)
 
 
 FUSED = f"WITH {sql_lexical()}, {sql_vectors(30)}, "
@@ -188,10 +189,10 @@ def rrf_dated_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boosted(spark: SparkSession, sf_dir: str, how: str) -> tuple[DataFrame, DataFrame]:
     """Boosted candidates, and the tokens of all documents among them."""
-    counts = lexical.counted(_docs(spark, sf_dir))
-    found = _fused(spark, sf_dir, 30, 0.45, 0.55, counts)
+    index = lexical.built(_docs(spark, sf_dir))
+    found = _fused(spark, sf_dir, 30, 0.45, 0.55, index)
     tokens = pool(found, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenize)
-    return ranking.boost(found, tokens, _asked(spark, sf_dir), frequent_terms(counts), how), tokens
+    return ranking.boost(found, tokens, _asked(spark, sf_dir), stored(frequent_terms(index.counts)), how), tokens
 
 
 CANONICAL = FUSED + sql_fused(30, 0.45, 0.55) + ", "
@@ -252,9 +253,9 @@ def _engine(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = ENGINES[name]
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-        counts = lexical.counted(_docs(spark, sf_dir, engine.tokenizer)) if engine.fusion else None
-        entities = frequent_terms(counts) if engine.boost else None
-        return _shown(retrieve(engine, docs, _vectors(spark, sf_dir), _questions(spark, sf_dir), entities, counts))
+        index = lexical.built(_docs(spark, sf_dir, engine.tokenizer)) if engine.fusion else None
+        entities = frequent_terms(index.counts) if engine.boost else None
+        return _shown(retrieve(engine, docs, _vectors(spark, sf_dir), _questions(spark, sf_dir), entities, index))
 
     return run
 
@@ -268,6 +269,6 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guard, retrieval, prompt and an extractive answer for every benchmark question (models are beyond SQL)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.lit("").alias("image"))
-    counts = lexical.counted(_docs(spark, sf_dir))
-    rows = answering.answered(_questions(spark, sf_dir), docs, _vectors(spark, sf_dir), pages, every_entity(counts), counts=counts)
+    index = lexical.built(_docs(spark, sf_dir))
+    rows = answering.answered(_questions(spark, sf_dir), docs, _vectors(spark, sf_dir), pages, every_entity(index.counts), index=index)
     return answering.answer_events(rows)
