@@ -29,7 +29,7 @@ def tokenize(text: Column, stem: Callable[[Column], Column] | None = None) -> Co
 
 
 def tokenize_long(text: Column, stem: Callable[[Column], Column] | None = None) -> Column:
-    """The older tokeniser: tokens of three letters and more, all stemmed."""
+    """The older tokeniser: tokens of three letters and more; stem as for tokenize."""
     tokens = F.filter(_words(text), lambda w: F.length(w) > 2)
     return stem(tokens) if stem else tokens
 

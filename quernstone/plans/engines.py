@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.stem import stem_tokens
 from quernstone.functions.text import rewrite_synonyms, tokenize, tokenize_long
 from quernstone.operators import lexical, ranking, vector
 from quernstone.storage import stored
@@ -26,12 +28,15 @@ class Engine:
     rerank_k: int = 10
     final_k: int = 5
     long_tokens: bool = False
+    stem: bool = False  # tokens of Russian words by their stem; costs a pass through Python
+    score: Callable[[Column, Column], Column] = ranking.overlap  # of the asked tokens and a document's, as a reranker gives it
     rewrite: bool = False
     modes: str = "router"
 
     @property
     def tokenizer(self) -> Callable[[Column], Column]:
-        return tokenize_long if self.long_tokens else tokenize
+        cut = tokenize_long if self.long_tokens else tokenize
+        return partial(cut, stem=stem_tokens) if self.stem else cut
 
 
 ENGINES = {
@@ -78,4 +83,4 @@ def retrieve(engine: Engine, docs: DataFrame, vectors: DataFrame, queries: DataF
     asked = queries.select("query_id", engine.tokenizer(F.col("text")).alias("tokens"))
     if engine.boost and entities is not None:
         found = stored(ranking.boost(found, tokens, asked, stored(entities), engine.boost))
-    return ranking.rerank(found, asked, tokens, engine.rerank_k, engine.final_k)
+    return ranking.rerank(found, asked, tokens, engine.rerank_k, engine.final_k, engine.score)

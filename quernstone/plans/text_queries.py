@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import rules, text as T
+from quernstone.functions import models, rules, text as T
 from quernstone.functions.stem import stem_tokens
-from quernstone.operators import chunk, graph, ranking, serving
+from quernstone.operators import chunk, graph, lexical, ranking, serving
 from quernstone.plans import graph_queries as G
+from quernstone.plans.engines import ENGINES
 from quernstone.plans.registry import query
+from quernstone.plans.retrieval_queries import RANKED, _shown, sql_lexical
 from quernstone.session import table, worker_path
 from quernstone.sources import readers as R
 
@@ -189,3 +193,37 @@ def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", mine.alias("words")).where(F.size("words") > 0)
     both = rows.select("event_id", F.explode(F.arrays_zip("words", stem_tokens("words").alias("stems"))).alias("x"))
     return both.select("event_id", F.col("x.words").alias("word"), F.col("x.stems").alias("stem"))
+
+
+@query(
+    f"""WITH documents_ru AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' служебн контракт' WHEN doc_id % 3 = 1 THEN ' контракт' ELSE '' END AS text FROM documents
+), benchmark_ru AS (SELECT item_id, text || ' служебн контракт' AS text FROM benchmark), {sql_lexical().replace('FROM documents', 'FROM documents_ru').replace('FROM benchmark', 'FROM benchmark_ru')} SELECT {RANKED} FROM ltop WHERE rank <= 10"""
+)
+def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every question, where Russian words in one form ask for texts that have them in another."""
+    worker_path(spark)
+    cut = replace(ENGINES["canonical"], stem=True).tokenizer
+    form = F.when(F.col("doc_id") % 3 == 0, " служебного контракта").when(F.col("doc_id") % 3 == 1, " контрактами").otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), form).alias("text"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), cut(F.concat("text", F.lit(" служебному контракту"))).alias("tokens"))
+    return _shown(lexical.indexed_top(lexical.built(lexical.tokens_of(docs, "doc_id", "text", cut)), asked, 10))
+
+
+def _sql_word_set(c: str) -> str:
+    return rf"list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+@query(
+    f"""WITH {sql_lexical()}, p AS (SELECT l.query_id, l.id, {_sql_word_set('b.text')} AS q, {_sql_word_set('left(d.text, 4000)')} AS t FROM ltop l JOIN benchmark b ON b.item_id = l.query_id JOIN documents d ON d.doc_id = l.id WHERE l.rank <= 10
+), s AS (SELECT query_id, id, round(len(list_intersect(q, t)) / greatest(1, len(list_distinct(list_concat(q, t)))), 6) AS score FROM p)
+SELECT query_id, id AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+)
+def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of ten documents of every question by the reranking model, over pairs of question and passage."""
+    worker_path(spark)
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    asked = items.select(F.col("item_id").alias("query_id"), T.tokenize(F.col("text")).alias("tokens"))
+    head = lexical.indexed_top(lexical.built(lexical.tokens_of(docs, "doc_id", "text")), asked, 10).select("query_id", "id")
+    pairs = head.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    scored = pairs.select("query_id", "id", F.round(models.reranker()("question", "text"), 6).alias("score"))
+    return _shown(lexical.ranked(scored, 5))
