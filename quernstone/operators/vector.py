@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators.lexical import ranked
 from quernstone.session import worker_path
+from quernstone.storage import stored
 
 CELL_CANDIDATES, CELL_QUERIES = 50_000, 2_048
 
@@ -36,7 +37,11 @@ def _best_of_cell(k: int):
             score = np.round(q[a : a + 256] @ x.T, 6)
             top = min(k, score.shape[1])
             floor = -np.partition(-score, top - 1, axis=1)[:, top - 1 :top]
-            row, col = np.nonzero(score >= floor)  # ties at the k-th place are settled by the final choice
+            hit = score >= floor
+            for r in np.flatnonzero(hit.sum(1) > top):  # of ties at the k-th place the smaller ids, which come first
+                tied = np.flatnonzero(score[r] == floor[r])
+                hit[r, tied[len(tied) - (hit[r].sum() - top) :]] = False
+            row, col = np.nonzero(hit)
             out.append(pd.DataFrame({"query_id": queries["query_id"].to_numpy()[a + row], "id": ids[col], "score": score[row, col]}))
         return pd.concat(out)
 
@@ -47,7 +52,8 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame
     """(query_id, id, score, rank); vectors: (id, v), queries: (query_id, v)."""
     worker_path(vectors.sparkSession)
     usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)) & F.exists("v", lambda x: x != 0)
-    vectors, queries = vectors.where(usable), queries.where(usable)
+    # Written first: the rows that are counted are those that are dealt.
+    vectors, queries = stored(vectors.select("id", "v").where(usable)), stored(queries.select("query_id", "v").where(usable))
     cells = lambda n, size: max(1, -(-n // size))
     n, m = cells(vectors.count(), CELL_CANDIDATES), cells(queries.count(), CELL_QUERIES)
     deal = lambda parts: F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")

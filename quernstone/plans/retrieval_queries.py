@@ -59,10 +59,10 @@ fused AS (SELECT query_id, id, round(sum(part), 9) AS score FROM (
   SELECT query_id, id, CAST({a} AS DOUBLE) / ({k} + rank) AS part FROM vtop UNION ALL SELECT query_id, id, CAST({b} AS DOUBLE) / ({k} + rank) FROM ltop) GROUP BY query_id, id)"""
 
 
-def sql_boosted(how: str, source: str = "fused") -> str:
+def sql_boosted(how: str, source: str = "fused", most: int | None = ENTITIES) -> str:
     score = "score + bonus * 0.1" if how == "add" else "score * (1 + bonus)"
     return rf"""
-ent AS (SELECT term AS entity FROM voc WHERE len(term) >= 4 ORDER BY df DESC, term LIMIT {ENTITIES}
+ent AS (SELECT term AS entity FROM voc WHERE len(term) >= 4 {f'ORDER BY df DESC, term LIMIT {most}' if most else ''}
 ), qe AS (SELECT DISTINCT query_id, entity FROM asked JOIN ent ON term = entity
 ), held AS (SELECT query_id, id, unnest(list_distinct(tokens)) AS token FROM fused JOIN docs USING (id)
 ), hits AS (SELECT query_id, id, count(DISTINCT entity) AS n FROM held JOIN qe USING (query_id) WHERE token = entity GROUP BY ALL
@@ -110,6 +110,13 @@ def every_entity(counts: DataFrame) -> DataFrame:
     return ranking.known_entities(counts.sparkSession, terms.select(F.col("term").alias("entity")))
 
 
+def asked_entities(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """The entities that share a token with some question; no other can raise a score."""
+    terms = asked.select(F.explode("tokens").alias("term")).distinct()
+    named = entities.select("entity", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").select("entity").distinct()
+    return entities.join(named, "entity", "left_semi")
+
+
 def frequent_terms(counts: DataFrame, n: int = ENTITIES) -> DataFrame:
     """(entity, tokens): the most frequent terms of four letters and more, as the SQL of the boosted queries takes them."""
     terms = lexical.vocabulary(counts).where(F.length("term") >= 4).orderBy(F.desc("df"), "term").limit(n)
@@ -264,6 +271,25 @@ for _name in ENGINES:
     query(_engine_sql(_name), f"engine_{_name}")(_engine(_name))
 
 
+@query(CANONICAL + sql_boosted("add", most=None) + "SELECT query_id, id AS doc_id, score FROM boosted")
+def entity_boost_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The additive boost by every term of four letters and more, however many there are."""
+    index = lexical.built(_docs(spark, sf_dir))
+    found = _fused(spark, sf_dir, 30, 0.45, 0.55, index)
+    tokens = pool(found, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenize)
+    asked = _asked(spark, sf_dir)
+    return ranking.boost(found, tokens, asked, stored(asked_entities(every_entity(index.counts), asked))).withColumnRenamed("id", "doc_id")
+
+
+@query(CANONICAL + sql_boosted("add", most=None) + ", " + sql_reranked("boosted", 10, 5) + f"SELECT {RANKED} FROM final")
+def engine_canonical_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical engine with every entity."""
+    index = lexical.built(_docs(spark, sf_dir))
+    docs, questions = table(spark, sf_dir, "documents").select("doc_id", "text"), _questions(spark, sf_dir)
+    entities = asked_entities(every_entity(index.counts), _asked(spark, sf_dir))
+    return _shown(retrieve(replace(ENGINES["canonical"], rewrite=False), docs, _vectors(spark, sf_dir), questions, entities, index))
+
+
 @query()
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guard, retrieval, prompt and an extractive answer for every benchmark question (models are beyond SQL)."""
