@@ -107,8 +107,9 @@ def synthesize(prompt: str, chunks: Sequence[str], mode: str = "compact", answer
 _NAME = re.compile(r"\b[A-ZА-ЯЁ][\w-]+(?:\s+[A-ZА-ЯЁ][\w-]+)*")
 
 
-def extract_graph(text: str, max_chars: int = 3_000, entities: int = 12, relations: int = 15) -> dict:
-    """Entities (runs of capitalised words) and relations between neighbours, in the shape a model would answer."""
+def extract_graph(text: str, max_chars: int | None = None, entities: int = 12, relations: int = 15) -> dict:
+    """Entities (runs of capitalised words) and relations between neighbours, in the shape a model would answer: so many
+    of each at most, from the whole text or, for a model with a window, from its first max_chars characters."""
     names = list(dict.fromkeys(m[0] for m in _NAME.finditer((text or "")[:max_chars]) if len(m[0]) >= 3))[:entities]
     pairs = list(zip(names, names[1:], strict=False))[:relations]
     return {"entities": [{"name": n, "description": ""} for n in names], "relationships": [{"source": a, "target": b, "relation": "связан с"} for a, b in pairs]}

@@ -6,6 +6,7 @@ both work on any script.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -13,6 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Small letters that Java's folding, through capitals, takes for others; the dot that a small İ keeps goes.
+FOLDED_FROM, FOLDED_TO = "ſıᲀᲁᲂᲃᲄᲅᲆ\u0307", "siвдосттъ"
+
+
 def folded(pattern: str) -> str:
     """The pattern, blind to case in any script."""
     return "(?iu)" + pattern.removeprefix("(?i)")
@@ -39,10 +44,24 @@ def any_contained(text: Column, needles: Iterable[str]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def anchor(pattern: str) -> str:
+    """Lower-case letters and blanks that every match of the pattern begins with."""
+    plain = re.match("[a-zа-яё ]*", pattern)[0]
+    return plain[:-1] if pattern[len(plain) : len(plain) + 1] in ("?", "*", "{") else plain
+
+
 def any_matched(text: Column, patterns: Iterable[str]) -> Column:
-    """Whether any pattern is found; false for null."""
-    found = reduce(lambda a, b: a | b, (F.rlike(text, F.lit(folded(p))) for p in patterns), F.lit(False))
-    return F.coalesce(found, F.lit(False))
+    """Whether any pattern is found; false for null. A pattern with an anchor of some length is tried only on texts that
+    hold the anchor, which one folding of case tells for all patterns."""
+
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            there, start = F.rlike(text, F.lit(folded(p))), anchor(p)
+            out = out | (F.contains(low, F.lit(start)) & there if len(start) > 2 and "|" not in re.sub(r"\([^()]*\)", "", p) else there)
+        return out
+
+    return F.coalesce(bound(F.translate(F.lower(text), FOLDED_FROM, FOLDED_TO), found), F.lit(False))
 
 
 def split_before(text: Column, mark: str) -> Column:

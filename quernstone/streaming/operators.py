@@ -26,21 +26,29 @@ def first_of_keys(stream: DataFrame, keys: Sequence[str], ts: str | None = None,
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def _stateful(stream: DataFrame, by: Sequence[str], state: str, step: Callable[[tuple, pd.DataFrame, Any], tuple[pd.DataFrame, tuple]], schema: T.StructType) -> DataFrame:
-    """step(key, rows of a batch, state or None) -> (rows out, new state), for each key."""
+def _stateful(stream: DataFrame, by: Sequence[str], state: str, step: Callable[[tuple, pd.DataFrame, Any], tuple[pd.DataFrame, tuple]], schema: T.StructType, idle: float | None) -> DataFrame:
+    """step(key, rows of a batch, state or None) -> (rows out, new state), for each key. The state of a key that has no
+    rows for idle seconds of processing goes; a stream with such a limit runs until it is stopped, also when it is asked
+    for what is available now."""
     worker_path(stream.sparkSession)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(frames), ignore_index=True)
         out, new = step(key, rows, held.get if held.exists else None)
         held.update(new)
+        if idle is not None:
+            held.setTimeoutDuration(max(1, round(idle * 1000)))
         yield out
 
-    return stream.groupBy(*by).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*by).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def first_of_last_keys(stream: DataFrame, by: str, key: str, order: str, most: int = SEEN_KEYS) -> DataFrame:
-    """Rows whose key isn't among the last so many new keys of their group, first in, first out."""
+def first_of_last_keys(stream: DataFrame, by: str, key: str, order: str, most: int = SEEN_KEYS, idle: float | None = None) -> DataFrame:
+    """Rows whose key isn't among the last so many new keys of their group, first in, first out; a group that is idle for
+    so many seconds, if given, is forgotten."""
 
     def step(_, rows: pd.DataFrame, held) -> tuple[pd.DataFrame, tuple]:
         seen = list(held[0]) if held else []
@@ -54,7 +62,7 @@ def first_of_last_keys(stream: DataFrame, by: str, key: str, order: str, most: i
                     there.discard(seen.pop(0))
         return rows.sort_values(order, kind="stable")[keep], (seen,)
 
-    return _stateful(stream, [by], "seen array<string>", step, stream.schema)
+    return _stateful(stream, [by], "seen array<string>", step, stream.schema, idle)
 
 
 def refreshed(times: Sequence[float], ttl: float, last: float | None = None) -> list[float]:
@@ -67,9 +75,10 @@ def refreshed(times: Sequence[float], ttl: float, last: float | None = None) ->
     return out
 
 
-def with_cache_expiry(stream: DataFrame, by: str, ts: str, value: str, ttl: float = TTL_SECONDS, tie: str | None = None) -> DataFrame:
+def with_cache_expiry(stream: DataFrame, by: str, ts: str, value: str, ttl: float = TTL_SECONDS, tie: str | None = None, idle: float | None = None) -> DataFrame:
     """Rows with served_value and served_at: each key's value as of its last refresh. An age counts from the refresh, not
-    from the last hit."""
+    from the last hit. A key that is idle for so many seconds, if
+    given, is forgotten; ttl or more loses nothing."""
     kind = stream.schema[value].dataType
     schema = T.StructType([*stream.schema.fields, T.StructField("served_value", kind), T.StructField("served_at", T.TimestampType())])
     state = f"at bigint, value {kind.simpleString()}"
@@ -87,7 +96,7 @@ def with_cache_expiry(stream: DataFrame, by: str, ts: str, value: str, ttl: floa
         out = rows.assign(served_value=values, served_at=pd.Series(at).astype("datetime64[us]"))
         return out, (at[-1], known[at[-1]])
 
-    return _stateful(stream, [by], state, step, schema)
+    return _stateful(stream, [by], state, step, schema, idle)
 
 
 def last_in_window(rows: DataFrame, ts: str, width: str, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
