@@ -17,7 +17,7 @@ WORD_BITS, GRAM_BITS = 18, 18
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
 WINDOW, STRIDE = 64, 32
 #: Characters of texts, distinct words whose n-grams, and windows whose states, are held as arrays at a time.
-CHARS_AT_A_TIME, WORDS_AT_A_TIME, WINDOWS_AT_A_TIME = 500_000, 8_192, 2_048
+CHARS_AT_A_TIME, WORDS_AT_A_TIME, WINDOWS_AT_A_TIME = 250_000, 4_096, 1_024
 
 #: Texts whose words are held together in training.
 TEXTS_AT_A_TIME = 500

@@ -13,6 +13,7 @@ input that are named like results are replaced by them; all others pass through.
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 from collections.abc import Iterator
 
@@ -58,6 +59,25 @@ def train(texts: list[str], y: list[int]):
     return bigru.train(texts, y) if 0 < sum(y) < len(y) else Constant(sum(y) / max(1, len(y)))
 
 
+def trained_apart(texts: list[str], y: list[int]) -> bytes:
+    """The trained model, pickled. It is trained in a process of its own, whose memory goes with it: Spark keeps workers."""
+    fork = multiprocessing.get_context("fork")
+    receive, send = fork.Pipe(duplex=False)
+
+    def run() -> None:
+        send.send_bytes(pickle.dumps(train(texts, y)))
+
+    child = fork.Process(target=run)
+    child.start()
+    send.close()
+    try:
+        return receive.recv_bytes()
+    except EOFError:
+        raise RuntimeError("training ended without a model") from None
+    finally:
+        child.join()
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic"):
     """The model. Its bounded sample meets in one task of an executor, which trains and gives back the weights alone;
     a task that is lost runs again to the same weights."""
@@ -68,9 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for block in blocks:
             texts += block.column(0).to_pylist()
             y += block.column(1).to_pylist()
-        model = pickle.dumps(train(texts, y))
-        del texts, y
-        yield from tidied(iter([pa.RecordBatch.from_pydict({"model": [model]})]))
+        yield from tidied(iter([pa.RecordBatch.from_pydict({"model": [trained_apart(texts, y)]})]))
 
     found = sample(docs, labels, key, text, label).coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else Constant(0.0)
