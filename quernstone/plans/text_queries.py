@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import models, rules, text as T
+from quernstone.functions.regex import bound
 from quernstone.functions.stem import stem_tokens
 from quernstone.operators import chunk, graph, lexical, ranking, serving
 from quernstone.plans import graph_queries as G
@@ -34,10 +35,13 @@ def document_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(text: Column) -> Column:
     """A graph whose entities are a text's words, those over five letters with a description, each related to the next."""
-    words = F.split(text, " ")
-    entity = F.transform(words, lambda w: F.struct(w.alias("name"), F.when(F.length(w) > 5, F.repeat(w, 8)).otherwise("").alias("description")))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.struct(F.get(words, i - 1).alias("source"), F.coalesce(F.get(words, i), F.lit("")).alias("target"), F.when(i % 2 == 0, F.lit("содержит")).otherwise(F.lit("иное")).alias("relation")))
-    return F.struct(entity.alias("entities"), pairs.alias("relationships"))
+
+    def of(words: Column) -> Column:
+        entity = F.transform(words, lambda w: F.struct(w.alias("name"), F.when(F.length(w) > 5, F.repeat(w, 8)).otherwise("").alias("description")))
+        pairs = F.transform(words, lambda w, i: F.struct(w.alias("source"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("target"), F.when(i % 2 == 1, F.lit("содержит")).otherwise(F.lit("иное")).alias("relation")))
+        return F.struct(entity.alias("entities"), pairs.alias("relationships"))
+
+    return bound(F.split(text, " "), of)
 
 
 @query("SELECT doc_id, array_to_string([CASE WHEN length(w) > 5 THEN w || ' (' || left(repeat(w, 8), 50) || ')' ELSE w END FOR w IN string_split(text, ' ')[1:7]], '; ') AS graph FROM documents")
