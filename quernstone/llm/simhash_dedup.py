@@ -3,11 +3,13 @@
 Fingerprints: one bit is set if it is set in over half the XXH64 values of a text's word shingles. Distinct
 fingerprints are dealt to tiles by their population count, in large sets by the population counts of several segments of
 their bits. The counts of two fingerprints within the radius differ by no more than the radius in sum, so tile pairs
-further apart are skipped; the others are compared whole, by numpy exclusive-or and bit counts. Inside a tile pair
-sub-tiles of equal leading bits are skipped on the same ground: the bits in which their prefixes differ are already
-beyond the radius.
+further apart are skipped; the others are compared by numpy exclusive-or and bit counts. Inside a tile pair the bits are
+cut into one block more than the radius: fingerprints within the radius are equal in one of them, so that only sub-tiles
+of equal blocks are compared, and large sub-tiles are cut again by the bits that are left. So the comparisons of a tile
+pair follow its rows where fingerprints spread, and no pair within the radius is missed where they don't.
 
-A tile pair gives a spanning forest of its links instead of all links, so that a group of n copies gives n rows. A
+A tile pair gives a spanning forest of its links instead of all links, so that a group of n copies gives n rows; inside a
+large sub-tile what is linked already isn't compared again. A
 fingerprint's rows are counted before they meet, and fingerprints of many rows get their component by a broadcast of
 checked size, so that no group of copies goes through one task.
 
@@ -39,8 +41,8 @@ TILE_ROWS = 1 << 19
 #: Rows from which a fingerprint's rows are hot: they get their component by broadcast. There are at most one in so many
 #: as there are rows, and no more than MAX_HOT.
 HOT_ROWS, MAX_HOT = 10_000, 100_000
-#: Fingerprints of a sub-tile, and of the arrays compared at a time.
-SUB_ROWS, BLOCK = 64, 1 << 20
+#: Pairs that are compared at a time; a sub-tile of more is large.
+BLOCK = 1 << 20
 #: Keys, at 8 bytes and a hash entry each, up to which those that go are broadcast.
 MAX_BROADCAST_KEYS = 1_000_000
 #: Bytes of text that are held as strings at a time.
@@ -78,12 +80,6 @@ def with_fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", *mo
     return df.select(key, text, *more).mapInArrow(run, schema)
 
 
-def _neighbours(bits: int, radius: int) -> np.ndarray:
-    """All exclusive-or masks of so many bits with at most radius bits set."""
-    masks = np.arange(1 << bits, dtype=np.int64)
-    return masks[np.bitwise_count(masks) <= radius]
-
-
 def segments_of(n: int, tile_rows: int, most: int = 8) -> int:
     """The fewest segments by whose population counts the fullest tile of n random fingerprints has no more rows than that."""
     for k in range(1, most):
@@ -123,48 +119,86 @@ def _deal(radius: int, segments: int):
     return run
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int):
-    """Index pairs (i, j) of all a[i], b[j] within the radius, in blocks."""
-    if not len(a) or not len(b):
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, trees=None):
+    """Index pairs (i, j) of all a[i], b[j] within the radius, in blocks; a pair may come more than once.
+
+    trees(i, j) gives the trees of a[i] and of b[j], if the caller joins the pairs as they come: then pairs of one tree
+    may be left out.
+    """
+    if len(a) and len(b):
+        yield from _sub_tiles(a, b, np.arange(len(a)), np.arange(len(b)), np.arange(64), radius, trees)
+
+
+def _sub_tiles(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, places: np.ndarray, radius: int, trees):
+    """close_pairs of a[ia], b[ib], which differ in these places only."""
+    whole = len(ia) * len(ib)
+    if whole <= BLOCK or len(places) <= radius:
+        yield from _compared(a, b, ia, ib, radius, trees)
+        return
+    blocks = np.array_split(places, radius + 1)
+    masks = [np.bitwise_or.reduce(np.uint64(1) << block.astype(np.uint64)) for block in blocks]
+    if len(places) < 64 and sum(_meetings(a[ia] & mask, b[ib] & mask) for mask in masks) > whole // 2:
+        yield from _compared(a, b, ia, ib, radius, trees)
         return
-    lead = max(0, int(np.ceil(np.log2(max(len(a), len(b)) / SUB_ROWS))))
-    lead = min(lead, 14)
-    shift = np.uint64(64 - lead)
-    oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    a, b = a[oa], b[ob]
-    prefixes = np.arange((1 << lead) + 1, dtype=np.uint64)
-
-    def borders(x):
-        if not lead:
-            return np.array([0, len(x)])
-        return np.searchsorted(x >> shift, prefixes)
-
-    ba, bb = borders(a), borders(b)
-    masks = _neighbours(lead, radius)
-    for p in np.flatnonzero(np.diff(ba)).tolist():  # a sub-tile of a against those of b that its prefix allows
-        q = p ^ masks
-        lo, hi = bb[q], bb[q + 1]
-        some = hi > lo
-        lo, hi = lo[some], hi[some]
-        sizes = hi - lo
-        total = int(sizes.sum())
-        if not total:
-            continue
-        cols = np.arange(total) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)
-        rows = np.arange(ba[p], ba[p + 1])
-        step = max(1, BLOCK // len(rows))
-        for c in range(0, total, step):
-            part = cols[c : c + step]
-            hit = np.bitwise_count(a[rows][:, None] ^ b[part][None, :]) <= radius
-            i, j = np.nonzero(hit)
+    for block, mask in zip(blocks, masks, strict=True):
+        ka, kb = a[ia] & mask, b[ib] & mask
+        oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        ka, kb, ja, jb = ka[oa], kb[ob], ia[oa], ib[ob]
+        starts = np.flatnonzero(np.append(True, ka[1:] != ka[:-1]))
+        sizes = np.diff(np.append(starts, len(ka)))
+        lo, hi = np.searchsorted(kb, ka[starts]), np.searchsorted(kb, ka[starts], "right")
+        large = sizes * (hi - lo) > BLOCK
+        for s, n, p, q in zip(starts[large], sizes[large], lo[large], hi[large], strict=True):
+            yield from _sub_tiles(a, b, ja[s : s + n], jb[p:q], np.setdiff1d(places, block), radius, trees)
+        # The others, many at a time: row r meets the places lo to lo + wide of the other side.
+        lo, wide = np.repeat(lo, sizes), np.repeat(np.where(large, 0, hi - lo), sizes)
+        ends, at = np.cumsum(wide), 0
+        while at < len(wide):
+            done = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+            some = wide[at:end]
+            rows = np.repeat(np.arange(at, end), some)
+            cols = np.arange(len(rows)) + np.repeat(lo[at:end] - (ends[at:end] - some - done), some)
+            i, j = ja[rows], jb[cols]
+            hit = np.bitwise_count(a[i] ^ b[j]) <= radius
+            if hit.any():
+                yield i[hit], j[hit]
+            at = end
+
+
+def _meetings(ka: np.ndarray, kb: np.ndarray) -> int:
+    """Pairs of equal keys."""
+    (ka, na), (kb, nb) = np.unique(ka, return_counts=True), np.unique(kb, return_counts=True)
+    _, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    return int((na[i] * nb[j]).sum())
+
+
+def _compared(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, radius: int, trees):
+    """close_pairs of a[ia], b[ib], all against all but, in a large sub-tile, what is in one tree."""
+    large = trees is not None and len(ia) * len(ib) > BLOCK
+    if large:
+        ia = ia[np.argsort(trees(ia, ib[:0])[0], kind="stable")]
+    step = max(1, BLOCK // len(ib))
+    for r in range(0, len(ia), step):
+        rows, cols = ia[r : r + step], ib
+        if large:
+            mine, others = trees(rows, cols)
+            if (mine == mine[0]).all():
+                cols = cols[others != mine[0]]
+        for c in range(0, len(cols), BLOCK):
+            part = cols[c : c + BLOCK]
+            i, j = np.nonzero(np.bitwise_count(a[rows][:, None] ^ b[part][None, :]) <= radius)
             if len(i):
-                yield oa[rows[i]], ob[part[j]]
+                yield rows[i], part[j]
 
 
 def _root(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The roots of x, which become their parents."""
+    own = x
     while True:
         up = parent[x]
         if (up == x).all():
+            parent[own] = x
             return x
         x = up
 
@@ -189,7 +223,8 @@ def _forest(radius: int):
         left = np.arange(len(fp)) if same else np.flatnonzero(first)
         right = left if same else np.flatnonzero(~first)
         parent = np.arange(len(fp))
-        for i, j in close_pairs(fp[left], fp[right], radius):
+        trees = lambda i, j: (_root(parent, left[i]), _root(parent, right[j]))
+        for i, j in close_pairs(fp[left], fp[right], radius, trees):
             _union(parent, left[i], right[j])
         root = _root(parent, np.arange(len(fp)))
         linked = root != np.arange(len(fp))

@@ -131,3 +131,52 @@ def test_query_keeps_rows_without_an_id(spark, tmp_path):
     got = sorted(map(tuple, S.op9_simhash_dedup(spark, str(tmp_path)).collect()), key=str)
     one = f"{slow_fingerprint('x'):016x}"
     assert got == sorted([(1, one, 1), (None, one, None), (None, "0" * 16, None)], key=str)
+
+
+def counted(monkeypatch):
+    """The sizes of all arrays whose bits are counted from now on."""
+    sizes, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: sizes.append(np.size(x)) or count(x))
+    return sizes
+
+
+def forest_of(prints):
+    """The smallest position of each position's tree, by the links inside one tile."""
+    x = np.array(prints, np.uint64)
+    rep = np.arange(len(x))
+    links = S._forest(4)(pd.DataFrame({"t1": 0, "t2": 0, "first": True, "fp": x.view(np.int64), "rep": rep}))
+    got = rep.copy()
+    got[links["a"]] = links["b"]
+    return dict(enumerate(got.tolist()))
+
+
+def test_comparisons_follow_the_rows_of_a_tile(monkeypatch):
+    n = 40_000
+    a = np.random.default_rng(5).integers(0, 2**64, n, dtype=np.uint64)
+    b = a ^ np.uint64(0b1011 << 30)
+    sizes = counted(monkeypatch)
+    got = {(i, j) for x, y in S.close_pairs(a, b, 4) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert {(i, i) for i in range(n)} <= got and sum(sizes) < 100 * n
+
+
+def test_a_dense_group_is_compared_until_it_is_linked(monkeypatch):
+    masks = [(1 << i) | (1 << j) for i in range(64) for j in range(i + 1)]  # 2,080 within two bits of one fingerprint
+    prints = [0x0123456789ABCDEF ^ m for m in masks]
+    monkeypatch.setattr(S, "BLOCK", 1 << 14)
+    sizes = counted(monkeypatch)
+    assert set(forest_of(prints).values()) == {0} and sum(sizes) < len(prints) ** 2
+
+
+@pytest.mark.parametrize("block", [16, 256, 1 << 20])
+def test_large_sub_tiles_are_whole(monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    few = rng.integers(0, 2**64, 3, dtype=np.uint64)
+    wide = few[rng.integers(0, 3, 500)] ^ (rng.integers(0, 2**20, 500, dtype=np.uint64) << np.uint64(22))  # equal in 44 places
+    a = np.unique(np.append(wide, rng.integers(0, 2**64, 100, dtype=np.uint64)))
+    b = a[::2] ^ (np.uint64(1) << rng.integers(0, 64, len(a[::2])).astype(np.uint64))
+    i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= 4)
+    got = {p for x, y in S.close_pairs(a, b, 4) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True)) and len(got) > len(b)
+    both = np.unique(np.append(a, b)).tolist()
+    assert forest_of(both) == slow_components(dict(enumerate(both)))
