@@ -5,8 +5,8 @@ fingerprints are dealt to tiles by their population count, in large sets by the
 their bits. The counts of two fingerprints within the radius differ by no more than the radius in sum, so tile pairs
 further apart are skipped; the others are compared by numpy exclusive-or and bit counts. Inside a tile pair the bits are
 cut into one block more than the radius: fingerprints within the radius are equal in one of them, so that only sub-tiles
-of equal blocks are compared, and large sub-tiles are cut again by the bits that are left. So the comparisons of a tile
-pair follow its rows where fingerprints spread, and no pair within the radius is missed where they don't.
+of equal blocks are compared, and large sub-tiles are cut again by the bits that are left. Where fingerprints spread, one
+meets some 300 of a full tile; where they don't, more, and no pair within the radius is missed.
 
 A tile pair gives a spanning forest of its links instead of all links, so that a group of n copies gives n rows; inside a
 large sub-tile what is linked already isn't compared again. A

@@ -180,3 +180,15 @@ def test_large_sub_tiles_are_whole(monkeypatch, block):
     assert got == set(zip(i.tolist(), j.tolist(), strict=True)) and len(got) > len(b)
     both = np.unique(np.append(a, b)).tolist()
     assert forest_of(both) == slow_components(dict(enumerate(both)))
+
+
+def test_a_tile_pair_of_the_dedup_stage_compares_few_of_its_pairs(monkeypatch):
+    n = 30_000
+    rng = np.random.default_rng(11)
+    a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    fp = np.append(a, a ^ np.uint64(0b11 << 40))
+    first = np.arange(len(fp)) < len(a)
+    sizes = counted(monkeypatch)
+    got = S._forest(4)(pd.DataFrame({"t1": 3, "t2": 5, "first": first, "fp": fp.view(np.int64), "rep": np.arange(len(fp))}))
+    assert {*zip(got["b"], got["a"], strict=True)} == {(i, i + len(a)) for i in range(len(a))}
+    assert sum(sizes) < len(a) ** 2 // 100
