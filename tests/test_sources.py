@@ -104,6 +104,19 @@ def test_gexf(spark, tmp_path):
     assert {n.get("id") for n in root.findall(".//g:node", ns)} == {'a"<', "b"} and root.find(".//g:edge", ns).get("label") == "x, y"
 
 
+def test_gexf_edges_go_to_several_files(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "law", "d")], "node string, type string, description string")
+    edges = spark.range(4_000).select(F.concat(F.lit("a"), "id").alias("source"), F.lit("b").alias("target"), F.lit(1).alias("weight"), F.lit("x").alias("label"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        K.write_gexf(nodes, edges, str(tmp_path / "g"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    lines = spark.read.text(str(tmp_path / "g")).where("value LIKE '<edge %'").groupBy(F.input_file_name()).count()
+    sizes = [r["count"] for r in lines.collect()]
+    assert sum(sizes) == 4_000 and max(sizes) < 2_000
+
+
 def test_upsert_and_sets(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda *r: spark.createDataFrame(list(r), "id long, v string")
