@@ -151,7 +151,7 @@ def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql_lexical()} SELECT {RANKED} FROM ltop WHERE rank <= 10")
 def bm25_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents of every benchmark question, from an inverted index that is built once, written and loaded."""
+    """The ten best documents of every benchmark question, from an index of each document's postings that is built once, written and loaded."""
     path = new_path(spark, "bm25")
     index = R.read_index(spark, path, lambda: lexical.index_of(_docs(spark, sf_dir)))
     return _shown(lexical.indexed_top(lexical.loaded(index), _asked(spark, sf_dir), 10))

@@ -29,6 +29,31 @@ def test_bm25_against_the_formula(spark):
     assert lexical.bm25_top(tokens, spark.createDataFrame([(1, [])], "query_id long, tokens array<string>")).count() == 0
 
 
+def test_index_is_made_of_rows_alone(spark):
+    tokens = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (1, ["a"])], "id long, tokens array<string>")
+    index = lexical.index_of(tokens)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, index.collect())) == [(1, 1, ["a"], [1]), (1, 3, ["a", "b"], [1, 2]), (2, 0, [], [])]
+    counts = {r.term: (r.df, r.n) for r in lexical.built(tokens).counts.collect()}
+    assert counts == {r.term: (r.df, r.n) for r in lexical.counted(tokens).collect()} == {"": (3, 4), "a": (2, None), "b": (1, None)}
+
+
+@pytest.mark.parametrize("size", [7, 8_192])
+def test_cells_of_the_index_against_the_formula(spark, monkeypatch, size):
+    monkeypatch.setattr(lexical, "CELL_DOCUMENTS", size)
+    monkeypatch.setattr(lexical, "CELL_QUERIES", size)
+    rng = random.Random(3)
+    corpus = [(rng.randint(0, 60), [rng.choice("abcdefghij") for _ in range(rng.randint(0, 20))]) for _ in range(90)]  # ids repeat
+    tokens = spark.createDataFrame([*corpus, (5, ["a", "b"]), (5, ["b", "c"]), (5, ["a", "b", "c"])], "id long, tokens array<string>")
+    queries = spark.createDataFrame([(i, [rng.choice("abcdefghijz") for _ in range(4)]) for i in range(9)] + [(50, [])], "query_id long, tokens array<string>")
+    top = lexical.indexed_top(lexical.built(tokens), queries, 5)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "HashAggregate" not in plan  # pairs of documents and queries are no rows
+    want = sorted(map(tuple, lexical.bm25_top(tokens, queries, 5).select("query_id", "rank", "id", "score").collect()))
+    assert sorted(map(tuple, top.select("query_id", "rank", "id", "score").collect())) == want and len(want) == 40
+    assert lexical.indexed_top(lexical.built(tokens.limit(0)), queries, 5).count() == 0
+
+
 def test_cosine_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "CELL_CANDIDATES", 40)
     monkeypatch.setattr(vector, "CELL_QUERIES", 7)
