@@ -19,6 +19,16 @@ def test_tokenize(spark):
     assert apply(spark, lambda c: T.tokenize(c, stem.stem_tokens), ["государственная служба не прошла"]) == [["государствен", "служб", "не", "прошл"]]
 
 
+def test_stems_of_odd_lists(spark):
+    df = spark.createDataFrame([(0, ["службы", None, "не"]), (1, None), (2, []), (3, ["службе"])], "i int, t array<string>")
+    assert [r.s for r in df.coalesce(1).orderBy("i").select(stem.stem_tokens("t").alias("s")).collect()] == [["служб", None, "не"], None, [], ["служб"]]
+
+
+def test_tokens_are_whole_runs(spark):
+    assert apply(spark, T.tokenize, ["a bc-я не\x0bx9\u00a0ЁЖ 字ab", None]) == [["bc", "не", "x9", "ab"], []]
+    assert apply(spark, T.tokenize_long, ["ab abc-абвг"]) == [["abc", "абвг"]]
+
+
 @pytest.mark.parametrize(
     ("word", "root"),
     [("важная", "важн"), ("важнейшими", "важн"), ("вазы", "ваз"), ("валентина", "валентин"), ("бегавшими", "бега"), ("падший", "падш"), ("противоестественном", "противоестествен"), ("уверенность", "уверен"), ("понимаешь", "понима"), ("проявившись", "прояв"), ("ёлка", "елк"), ("в", "в"), ("xyz", "xyz")],
