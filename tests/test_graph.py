@@ -135,3 +135,9 @@ def test_components_settle_on_their_own(spark, monkeypatch):
 
     monkeypatch.setattr(G, "_rounds", rounds)
     assert found(200) == whole == found(900)
+
+
+def test_rounds_broadcast_no_table(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "a string, b string, weight long")
+    members = spark.createDataFrame([("a", "a", 1), ("b", "b", 1)], "node string, community string, k long")
+    assert "BroadcastHashJoin" not in G._rows(edges, members)._jdf.queryExecution().sparkPlan().toString()
